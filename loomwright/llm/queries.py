@@ -116,12 +116,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _TOKEN = r"[^\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-_USABLE = """SELECT DISTINCT hit_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM hits
-    WHERE hit_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x <> 0)) > 0"""
+_USABLE = """SELECT DISTINCT hit_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM hits
+    WHERE hit_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
 
 
 def oracle_sql() -> dict[str, str]:
-    near = f"""WITH u AS ({_USABLE}), n AS (SELECT hit_id, list_transform(v, x -> x / sqrt(list_dot_product(v, v))) AS v FROM u),
+    near = f"""WITH u AS ({_USABLE}), n AS (SELECT hit_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM u),
         s AS (SELECT a.hit_id AS id, b.hit_id AS other_id, round(list_dot_product(a.v, b.v), 9) AS score FROM n a JOIN n b ON a.hit_id <> b.hit_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) AS rank FROM s)"""
     return {
