@@ -90,8 +90,8 @@ def _sketch(texts: list[str | None], min_words: int = MIN_WORDS, run: int = RUN)
 @F.pandas_udf(_SKETCH)
 def _sketch_udf(text: pd.Series) -> pd.DataFrame:
     rows: list[dict | None] = []
-    for at in range(0, len(text), 500):
-        rows += _sketch(text.iloc[at : at + 500].tolist())
+    for part in pandas_rows([text.to_frame("text")], 250, "text", 500_000):
+        rows += _sketch(part["text"].tolist())
     blank = dict.fromkeys(_SKETCH.names)
     return pd.DataFrame([r or blank for r in rows], columns=_SKETCH.names).astype({"set_id": "Int64", "n_set": "Int32", "bits_a": "Int64", "bits_b": "Int64", "ones": "Int32"})
 
@@ -169,7 +169,7 @@ def _jaccard(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def _verify(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in pandas_rows(rows, 2000, "text_a"):
+    for frame in pandas_rows(rows, 500, "text_a", 500_000):
         s = _jaccard(frame["text_a"].tolist(), frame["text_b"].tolist())
         frame = frame[["tab", "a", "b"]].assign(similarity=s)
         yield frame[s >= SIMILARITY]
