@@ -58,7 +58,7 @@ class Store:
         version before keep their files. Returns the number of rows."""
         v = self._current()
         empty = new.limit(0)
-        existing = empty if force or v is None else self.spark.read.parquet(f"{self.root}/{v['folder']}")
+        existing = empty if force or v is None else self.spark.read.parquet(f"{self.root}/{v['folder']}").drop("discover_part")
         folder = f"v-{uuid.uuid4().hex}"
         upserted(existing, new, key).withColumn("discover_part", F.coalesce("discover_only", F.lit(False)) if "discover_only" in new.columns else F.lit(False)).write.partitionBy("discover_part").parquet(f"{self.root}/{folder}")
         n = self.spark.read.parquet(f"{self.root}/{folder}").count()

@@ -50,17 +50,17 @@ def mmr(hits: DataFrame, k: int = KEEP, weight: float = LAMBDA, pool: int = POOL
     ranked = hits.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc_nulls_last("score"), "id"))).where(F.col("r") <= pool)
     entry = F.struct("r", "id", F.coalesce("score", F.lit(-1.0)).alias("score"), "vec")
     pools = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("pool"))
-    picked = F.slice("pool", 1, 1)
+    pool_ = F.col("pool")
 
     def step(picked: Column) -> Column:
-        rest = F.filter("pool", lambda h: ~F.exists(picked, lambda p: p["r"] == h["r"]))
-        scored = F.transform(rest, lambda h: F.struct((-(weight * h["score"] - (1 - weight) * F.coalesce(F.array_max(F.transform(picked, lambda p: cosine(p["vec"], h["vec"]))), F.lit(0.0)))).alias("minus"), h["r"].alias("r"), h.alias("hit")))
-        best = F.array_min(F.transform(scored, lambda s: F.struct(s["minus"], s["r"])))["r"]
-        return F.concat(picked, F.filter("pool", lambda h: h["r"] == best))
-
-    out = pools.withColumn("picked", picked)
-    for _ in range(k - 1):
-        out = out.withColumn("picked", F.when(F.size("picked") < F.size("pool"), step(F.col("picked"))).otherwise(F.col("picked")))
+        rest = F.filter(pool_, lambda h: ~F.exists(picked, lambda p: p["r"] == h["r"]))
+        alike = lambda h: F.coalesce(F.array_max(F.transform(picked, lambda p: cosine(p["vec"], h["vec"]))), F.lit(0.0))
+        best = F.array_min(F.transform(rest, lambda h: F.struct((-(weight * h["score"] - (1 - weight) * alike(h))).alias("minus"), h["r"].alias("r"), h.alias("hit"))))
+        return F.concat(picked, F.array(best["hit"]))
+
+    # one fold over the picks: the pool is read once, however many are picked
+    fold = F.aggregate(F.sequence(F.lit(2), F.lit(max(2, k))), F.slice(pool_, 1, 1), lambda picked, i: F.when((F.size(picked) < F.size(pool_)) & (F.size(picked) < k), step(picked)).otherwise(picked))
+    out = pools.select("qid", fold.alias("picked"))
     return out.select("qid", F.posexplode("picked").alias("pos", "h")).select("qid", F.col("h.id").alias("id"), (F.col("pos") + 1).alias("pick"))
 
 

@@ -102,8 +102,8 @@ ORACLES = {
     "chunks_by_authority": f"WITH {_REG}, {_CITABLE}, k AS (SELECT DISTINCT chunk_id, source_id, authority FROM chunks) SELECT authority, doc_type AS registered_type, count(*) AS chunks, count(DISTINCT source_id) AS sources FROM k JOIN c USING (source_id) GROUP BY ALL",
     "sources_without_chunks": "SELECT DISTINCT source_id FROM source_registry WHERE source_id <> '' AND source_id NOT IN (SELECT source_id FROM chunks WHERE source_id IS NOT NULL)",
     "store_metadata": "SELECT DISTINCT " + ", ".join(f"coalesce({c}, '') AS {c}" for c in ("chunk_id", "source_id", "source_title", "url", "authority", "scheme", "scheme_category", "doc_type", "section", "faq_question", "retrieved_at", "block_kind")) + ", coalesce(discover_only, false) AS discover_only, coalesce(chunk_index, 0) AS chunk_index, coalesce(token_count, 0) AS token_count FROM chunks",
-    "store_upsert": """WITH c AS (SELECT chunk_id, struct_pack(source_id := source_id, text := text, token_count := token_count) AS r, token_count FROM chunks),
-        n AS (SELECT chunk_id, min(r) AS r FROM c WHERE token_count >= 100 AND chunk_id IS NOT NULL GROUP BY chunk_id), o AS (SELECT chunk_id, min(r) AS r FROM c WHERE token_count IS NULL OR token_count < 120 GROUP BY chunk_id)
+    "store_upsert": """WITH c AS (SELECT chunk_id, struct_pack(source_id := source_id, text := text, token_count := coalesce(token_count, 0)) AS r, coalesce(token_count, 0) AS token_count FROM chunks),
+        n AS (SELECT chunk_id, min(r) AS r FROM c WHERE token_count >= 100 AND chunk_id IS NOT NULL GROUP BY chunk_id), o AS (SELECT chunk_id, min(r) AS r FROM c WHERE token_count < 120 GROUP BY chunk_id)
         SELECT chunk_id, unnest(r) FROM (SELECT * FROM n UNION ALL SELECT * FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM n))""",
     "duplicate_chunks": "SELECT chunk_id, count(*) AS n, count(DISTINCT token_count) AS counts, max(loaded_at) AS last FROM chunks GROUP BY chunk_id HAVING count(*) > 1",
     "knn_topk": """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, r.vec_id AS id, round(list_dot_product(q.v, r.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(r.v, r.v))), 6) AS score FROM e q JOIN e r USING (label) WHERE q.vec_id % 50 = 0),

@@ -216,8 +216,8 @@ def store_metadata(spark, d):
 
 
 def store_upsert(spark, d):
-    chunks = table(spark, d, "chunks").select("chunk_id", "source_id", "text", "token_count")
-    old = chunks.where("token_count IS NULL OR token_count < 120").groupBy("chunk_id").agg(F.min(F.struct("source_id", "text", "token_count")).alias("r")).select("chunk_id", "r.*")
+    chunks = table(spark, d, "chunks").select("chunk_id", "source_id", "text", F.coalesce("token_count", F.lit(0)).alias("token_count"))
+    old = chunks.where("token_count < 120").groupBy("chunk_id").agg(F.min(F.struct("source_id", "text", "token_count")).alias("r")).select("chunk_id", "r.*")
     return S.upserted(old, chunks.where("token_count >= 100"))
 
 
