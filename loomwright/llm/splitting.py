@@ -125,6 +125,11 @@ def _emit(max_words: int, overlap: int):
             out: dict[str, list] = {k: [] for k in ("item", "first_word", "n_words", "char_start", "end_word")}
             for row in frame.itertuples(index=False):
                 own = np.asarray(row.starts, dtype=np.int64)
+                if row.total_words <= max_words:  # one piece, in however many ranges
+                    if row.is_first:
+                        for k, x in zip(out, (row.item, 0, int(row.total_words), int(own[0]), int(row.total_words) - 1)):
+                            out[k].append(x)
+                    continue
                 cut = np.frombuffer(row.cut, dtype=np.uint8)
                 begin = 0 if row.is_first else _opening(cut, max_words)
                 starts, cut = own[begin:], cut[begin:]
@@ -174,6 +179,7 @@ def piece_offsets(ranges: DataFrame, max_words: int = MAX_WORDS, overlap: int =
         "item", "n", "starts", "cut",
         F.coalesce(F.sum(F.size("starts")).over(by_item.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("words_before"),
         (F.row_number().over(by_item) == 1).alias("is_first"),
+        F.sum(F.size("starts")).over(W.partitionBy("item")).alias("total_words"),
         F.lead(F.slice("starts", 1, max_words)).over(by_item).alias("next_starts"),
         F.lead(F.substring("cut", 1, max_words)).over(by_item).alias("next_cut"),
         F.collect_list(F.expr(f"slice(starts, greatest(1, size(starts) - {overlap} + 1), {overlap})")).over(by_item.rowsBetween(-overlap, -1)).alias("before_starts"),
