@@ -41,7 +41,7 @@ def mix_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     clean = targets.where("mix_id IS NOT NULL AND source IS NOT NULL").groupBy("mix_id", "source").agg(
         F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats"), F.max(F.coalesce("size_factor", F.lit(0.0))).alias("size_factor")
     )
-    per_source = sized.groupBy("source").agg(F.sum("tokens").alias("available"))
+    per_source = stage(sized.groupBy("source").agg(F.sum("tokens").alias("available")), "source-tokens")  # read twice below
     total = per_source.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"))
     joined = clean.join(per_source, "source", "left").crossJoin(F.broadcast(total))  # one row
     wanted, have = F.col("weight") * F.col("size_factor") * F.col("total"), F.coalesce("available", F.lit(0))
