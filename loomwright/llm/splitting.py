@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .words import WHITE, codes_of
+from .spark import pandas_rows
+from .words import codes_of
 
 MAX_WORDS = 256
 OVERLAP = 40
@@ -30,9 +31,9 @@ RANGE = 65_536
 HALO = 4
 
 #: How good a cut before a word is: 3 after an empty line, 2 after a line end, 1 after a sentence, 0 elsewhere.
-_WHITE = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
-_LINE = np.array([10, 11, 12, 13, 0x85, 0x2028, 0x2029], dtype=np.uint32)
-_STOP = np.array([ord(c) for c in ".!?।॥…。"], dtype=np.uint32)
+_WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_LINE = [10, 11, 12, 13, 0x85, 0x2028, 0x2029]
+_STOP = [ord(c) for c in ".!?।॥…。"]
 
 _WORDS = T.StructType([T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("cut", T.BinaryType())])
 
@@ -67,34 +68,52 @@ def file_ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
     return ranged.mapInPandas(read, "item string, n int, at long, before int, part string")
 
 
-def _words_of_range(part: str, before: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    codes = codes_of([part])[0][:-1]
-    white = np.isin(codes, _WHITE)
+def _table(points) -> np.ndarray:
+    table = np.zeros(0x3004, dtype=bool)
+    table[list(points)] = True
+    return table
+
+
+_IS_WHITE, _IS_LINE, _IS_STOP, _IS_CLOSING = _table(_WHITE), _table(_LINE), _table(_STOP), _table(ord(c) for c in "\"')]”’»")
+
+
+def _list_words(parts: list[str], before: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Starts and ends of the words of each range, as offsets in its item, and the kind of cut before each start. All ranges
+    of a batch are one array; the line feed that ``codes_of`` puts after each part is no part of any of them."""
+    codes, first = codes_of(parts)
+    codes = np.minimum(codes, 0x3003)
+    white = _IS_WHITE[codes]
     prior = np.r_[True, white[:-1]]
-    starts = np.flatnonzero(~white & prior)
-    ends = np.flatnonzero(white & ~prior)
-    if before == 0:
-        starts_ok, ends_ok = starts >= 0, ends >= 0
-    else:  # what the halo shows belongs to the range before
-        starts_ok, ends_ok = starts >= before, ends >= before
-    starts, ends = starts[starts_ok], ends[ends_ok]
-    lines = np.cumsum(np.isin(codes, _LINE) & ~((codes == 10) & np.r_[False, codes[:-1] == 13]))
-    # line ends and the last visible character between the word before and this one
-    visible = np.maximum.accumulate(np.where(~white, np.arange(len(codes)), -1))
-    last = np.where(starts > 0, visible[np.maximum(starts - 1, 0)], -1)
-    n_lines = np.where(starts > 0, lines[np.maximum(starts - 1, 0)] - np.where(last >= 0, lines[last], 0), 0)
-    stop = np.isin(codes[np.maximum(last, 0)], _STOP) & (last >= 0)
-    # a closing quote or bracket may follow the stop
-    closing = np.isin(codes[np.maximum(last, 0)], np.array([ord(c) for c in "\"')]”’»"], dtype=np.uint32)) & (last > 0)
-    stop |= closing & np.isin(codes[np.maximum(last - 1, 0)], _STOP)
-    cut = np.where(n_lines >= 2, 3, np.where(n_lines == 1, 2, np.where(stop, 1, 0))).astype(np.uint8)
-    return starts - before + at, ends - before + at, cut
+    prior[first[:-1]] = True
+    starts, ends = np.flatnonzero(~white & prior), np.flatnonzero(white & ~prior)
+    start_part, end_part = (np.searchsorted(first, x, side="right") - 1 for x in (starts, ends))
+    # what the halo shows belongs to the range before, and a word that runs to the end of its part may go on
+    own, closed = starts >= first[start_part] + before[start_part], (ends >= first[end_part] + before[end_part]) & (ends < first[end_part + 1] - 1)
+    starts, start_part, ends, end_part = starts[own], start_part[own], ends[closed], end_part[closed]
+    line = _IS_LINE[codes] & ~((codes == 10) & np.r_[False, codes[:-1] == 13])
+    line[first[1:] - 1] = False
+    lines = np.r_[0, np.cumsum(line)]  # line ends before each place
+    visible = np.r_[-1, np.maximum.accumulate(np.where(white, -1, np.arange(len(codes))))]
+    last = visible[starts]  # the last visible character before each word
+    known = last >= first[start_part]
+    n_lines = lines[starts] - lines[np.where(known, last, first[start_part])]
+    stop = known & _IS_STOP[codes[np.maximum(last, 0)]]
+    stop |= known & _IS_CLOSING[codes[np.maximum(last, 0)]] & (last > first[start_part]) & _IS_STOP[codes[np.maximum(last - 1, 0)]]
+    cut = np.where(n_lines >= 2, 3, np.where(n_lines == 1, 2, stop)).astype(np.uint8)
+    shift = at - before - first[:-1]
+    split = np.searchsorted(start_part, np.arange(1, len(parts)))
+    return np.split(starts + shift[start_part], split), np.split(ends + shift[end_part], np.searchsorted(end_part, np.arange(1, len(parts)))), np.split(cut, split)
 
 
 @F.pandas_udf(_WORDS)
 def _range_words(part: pd.Series, before: pd.Series, at: pd.Series) -> pd.DataFrame:
-    rows = [_words_of_range(p, b, a) for p, b, a in zip(part, before, at)]
-    return pd.DataFrame({"starts": [r[0] for r in rows], "ends": [r[1] for r in rows], "cut": [r[2].tobytes() for r in rows]})
+    starts: list[np.ndarray] = []
+    ends: list[np.ndarray] = []
+    cuts: list[bytes] = []
+    for rows in pandas_rows([pd.DataFrame({"part": part, "before": before, "at": at})], 2000, "part", 1_000_000):
+        a, b, c = _list_words(rows["part"].tolist(), rows["before"].to_numpy().astype(np.int64), rows["at"].to_numpy().astype(np.int64))
+        starts, ends, cuts = starts + a, ends + b, cuts + [x.tobytes() for x in c]
+    return pd.DataFrame({"starts": pd.Series(starts, dtype=object), "ends": pd.Series(ends, dtype=object), "cut": pd.Series(cuts, dtype=object)})
 
 
 def _cuts(cut: np.ndarray, first: int, stop: int, most: int, max_words: int) -> list[int]:
