@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..sources.shared import stage
 from .spark import pandas_rows
 from .words import codes_of
 
@@ -39,14 +40,15 @@ _WORDS = T.StructType([T.StructField("starts", T.ArrayType(T.LongType())), T.Str
 
 
 def text_ranges(items: DataFrame, size: int = RANGE) -> DataFrame:
-    """``items(item, text)`` -> ``(item, n, at, before, part)``: part is the text of range n, which starts at character
-    ``at``, with up to HALO characters before it. Null texts and items have no range."""
+    """``items(item, text)`` -> ``(item, n, n_ranges, at, before, part)``: part is the text of range n, which starts at
+    character ``at``, with up to HALO characters before it. Null texts and items have no range."""
     length = F.length("text")
     n = F.sequence(F.lit(0), F.floor((length - 1) / size).cast("int"))
     ranged = items.where("item IS NOT NULL AND length(text) > 0").select("item", "text", F.explode(n).alias("n"))
     at = F.col("n").cast("long") * size
     before = F.least(at, F.lit(HALO))
-    return ranged.select("item", "n", at.alias("at"), before.cast("int").alias("before"), F.expr(f"substring(text, cast(n * {size} - least(n * {size}, {HALO}) + 1 as int), cast({size} + least(n * {size}, {HALO}) as int))").alias("part"))
+    ranged = ranged.withColumn("n_ranges", F.floor((F.length("text") - 1) / size).cast("int") + 1)
+    return ranged.select("item", "n", "n_ranges", at.alias("at"), before.cast("int").alias("before"), F.expr(f"substring(text, cast(n * {size} - least(n * {size}, {HALO}) + 1 as int), cast({size} + least(n * {size}, {HALO}) as int))").alias("part"))
 
 
 def file_ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
@@ -60,12 +62,12 @@ def file_ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
                 with open(path, "rb") as f:
                     f.seek(at - before)
                     parts.append(f.read(size + before).decode("latin-1"))
-            yield frame[["item", "n", "at", "before"]].assign(part=parts)
+            yield frame[["item", "n", "n_ranges", "at", "before"]].assign(part=parts)
 
     n = F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / size).cast("int"))
-    ranged = files.where("bytes > 0").select(F.col("item").cast("string").alias("item"), "path", F.explode(n).alias("n")).repartition("item", "n")
+    ranged = files.where("bytes > 0").select(F.col("item").cast("string").alias("item"), "path", F.size(n).alias("n_ranges"), F.explode(n).alias("n")).repartition("item", "n")
     ranged = ranged.withColumn("at", F.col("n").cast("long") * size).withColumn("before", F.least("at", F.lit(HALO)).cast("int"))
-    return ranged.mapInPandas(read, "item string, n int, at long, before int, part string")
+    return ranged.mapInPandas(read, "item string, n int, n_ranges int, at long, before int, part string")
 
 
 def _table(points) -> np.ndarray:
@@ -185,34 +187,64 @@ def _flat(lists) -> np.ndarray:
     return np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
 
 
+def _whole(max_words: int, overlap: int):
+    """Pieces of items that lie within one range, with nothing to stitch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in pandas_rows(frames, 2000, "part", 1_000_000):
+            parts = frame["part"].tolist()
+            zero = np.zeros(len(parts), dtype=np.int64)
+            rows = []
+            for item, part, starts, ends, cut in zip(frame["item"], parts, *_list_words(parts, zero, zero)):
+                if not len(starts):
+                    continue
+                if len(ends) < len(starts):
+                    ends = np.r_[ends, len(part)]
+                at = _cuts(cut, 0, len(starts), max_words - overlap, max_words)
+                for k, (a, b) in enumerate(zip(at, [*at[1:], len(starts)])):
+                    from_ = max(0, a - overlap)
+                    rows.append((item, k + 1, len(at), int(starts[from_]), int(ends[b - 1]), b - from_))
+            yield pd.DataFrame(rows, columns=["item", "piece", "n_pieces", "char_start", "char_end", "n_words"])
+
+    return run
+
+
 def piece_offsets(ranges: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
     """``(item, piece, n_pieces, char_start, char_end, n_words)`` of a table of ranges.
 
     Every piece has at most ``max_words`` words and shares ``overlap`` of them with the piece before; the pieces of an
     item cover all its words. Items without a word have no piece.
     """
-    listed = ranges.withColumn("w", _range_words("part", "before", "at")).select("item", "n", "at", F.length("part").alias("length"), "before", "w.*")
+    kind = dict(ranges.dtypes)["item"]
+    whole = ranges.where("n_ranges = 1").select("item", "part").mapInPandas(_whole(max_words, overlap), f"item {kind}, piece int, n_pieces int, char_start long, char_end long, n_words int")
+    return whole.unionByName(_stitched(ranges.where("n_ranges > 1"), max_words, overlap))
+
+
+def _stitched(ranges: DataFrame, max_words: int, overlap: int) -> DataFrame:
+    """Pieces of items of several ranges. The windows over an item see a short summary of each range; the words
+    themselves stay in their ranges and are joined by (item, range)."""
+    listed = ranges.withColumn("w", _range_words("part", "before", "at"))
+    listed = stage(listed.select("item", "n", (F.col("at") + F.length("part") - F.col("before")).alias("stop"), "w.*"), "range-words")
     by_item = W.partitionBy("item").orderBy("n")
-    words = listed.where("size(starts) > 0")
+    earlier = by_item.rowsBetween(W.unboundedPreceding, -1)
+    totals = listed.groupBy("item").agg(F.max("stop").alias("total"), F.sum(F.size("starts")).alias("total_words"))
+    words = listed.where("size(starts) > 0").select(
+        "item", "n", F.size("starts").alias("k"), F.slice("starts", 1, max_words).alias("head"), F.substring("cut", 1, max_words).alias("head_cut"), F.expr(f"slice(starts, greatest(1, size(starts) - {overlap} + 1), {overlap})").alias("tail")
+    )
     words = words.select(
-        "item", "n", "starts", "cut",
-        F.coalesce(F.sum(F.size("starts")).over(by_item.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("words_before"),
-        (F.row_number().over(by_item) == 1).alias("is_first"),
-        F.sum(F.size("starts")).over(W.partitionBy("item")).alias("total_words"),
-        F.lead(F.slice("starts", 1, max_words)).over(by_item).alias("next_starts"),
-        F.lead(F.substring("cut", 1, max_words)).over(by_item).alias("next_cut"),
-        F.collect_list(F.expr(f"slice(starts, greatest(1, size(starts) - {overlap} + 1), {overlap})")).over(by_item.rowsBetween(-overlap, -1)).alias("before_starts"),
+        "item", "n", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("words_before"), (F.row_number().over(by_item) == 1).alias("is_first"),
+        F.lead("head").over(by_item).alias("next_starts"), F.lead("head_cut").over(by_item).alias("next_cut"), F.collect_list("tail").over(by_item.rowsBetween(-overlap, -1)).alias("before_starts"),
     )
-    pieces = words.mapInPandas(_emit(max_words, overlap), f"item {dict(ranges.dtypes)['item']}, first_word long, n_words int, char_start long, end_word long")
-    # a piece's last word ends in the last range with as many word ends before it: pieces and ranges are sorted together
-    ends_before = F.coalesce(F.sum(F.size("ends")).over(by_item.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.max(F.col("at") + F.col("length") - F.col("before")).over(W.partitionBy("item"))
-    ends = listed.select("item", ends_before.alias("word"), F.lit(0).alias("kind"), F.struct("ends", ends_before.alias("ends_before"), total.alias("total")).alias("held"), F.size("ends").alias("k"), "n")
-    ends = ends.where("k > 0 OR n = 0").drop("k", "n")
+    rows = words.join(listed.select("item", "n", "starts", "cut"), ["item", "n"]).join(totals, "item")
+    pieces = rows.mapInPandas(_emit(max_words, overlap), f"item {dict(ranges.dtypes)['item']}, first_word long, n_words int, char_start long, end_word long")
+    # a piece's last word ends in the last range with as many word ends before it: summaries and pieces are sorted together
+    ends = listed.where("size(ends) > 0").select("item", "n", F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).alias("word"))
+    ends = ends.select("item", "word", F.lit(0).alias("kind"), F.struct("n", F.col("word").alias("ends_before")).alias("held"))
     by_word = W.partitionBy("item").orderBy("word", "kind").rowsBetween(W.unboundedPreceding, 0)
     merged = ends.unionByName(pieces.withColumnRenamed("end_word", "word").withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    out = merged.withColumn("held", F.last("held", ignorenulls=True).over(by_word)).where("kind = 1")
-    out = out.withColumn("char_end", F.coalesce(F.get("held.ends", (F.col("word") - F.col("held.ends_before")).cast("int")), "held.total"))
+    found = merged.withColumn("held", F.last("held", ignorenulls=True).over(by_word)).where("kind = 1").select("item", "first_word", "n_words", "char_start", "word", "held.n", "held.ends_before")
+    out = found.join(listed.select("item", "n", "ends"), ["item", "n"], "left").join(totals.select("item", "total"), "item")
+    out = out.withColumn("char_end", F.coalesce(F.get("ends", (F.col("word") - F.col("ends_before")).cast("int")), "total"))
     order = W.partitionBy("item").orderBy("first_word")
     return out.select("item", F.row_number().over(order).alias("piece"), F.count(F.lit(1)).over(W.partitionBy("item")).cast("int").alias("n_pieces"), "char_start", "char_end", "n_words")
 
