@@ -3,8 +3,8 @@
 The set of a text holds the hashes of its runs of three words. Texts with equal sets collapse into one class first, so
 copies cost nothing later. A class has
 
-* 90 minimum hashes, which give 30 keys of three: classes that share a key fall into one block. Two classes with
-  similarity s miss each other in all blocks with probability (1 - s^3)^30, 1 in 1,500 at 0.6 and 1 in 100,000 at 0.69;
+* 81 minimum hashes, which give 27 keys of three: classes that share a key fall into one block. Two classes with
+  similarity s miss each other in all blocks with probability (1 - s^3)^27, 1 in 700 at 0.6, 1 in 6,000 at 0.65 and 1 in 70,000 at 0.7;
 * a fingerprint of 128 bits, one bit of each of 128 minimum hashes. It differs in 64 (1 - s) bits on average.
 
 A block is cut into tiles by bit count. Tiles are compared pairwise in numpy, by exclusive-or and bit counts;
@@ -33,7 +33,7 @@ from .words import Words, mix
 RUN = 3
 MIN_WORDS = 40
 SIMILARITY = 0.6
-KEYS, ROWS_PER_KEY = 30, 3
+KEYS, ROWS_PER_KEY = 27, 3
 BITS = 128
 #: Bits in which two classes of the least similarity may differ: their mean 64 (1 - s) = 25.6 and 4.5 deviations.
 RADIUS = 46
@@ -185,16 +185,16 @@ def classes(records: DataFrame) -> DataFrame:
     return long.select("tab", "key", F.xxhash64("text").alias("text_hash"), "s.*").withColumn("set_id", F.xxhash64("tab", "set_id"))
 
 
-def candidate_pairs(sketched: DataFrame) -> DataFrame:
-    """Sketches ``(tab, set_id, n_set, keys, bits_a, bits_b, ones)`` -> ``(a, b)``: pairs of classes of one table that share a block and whose fingerprints are within the radius.
+def candidate_pairs(rep: DataFrame) -> DataFrame:
+    """``(a, b)``: pairs of classes of one table that share a block and whose fingerprints are within the radius.
 
     Blocks of more than TILE rows are cut by bands of bit counts, and bands of more than TILE rows by a hash, from counts
     that are summed before they are shuffled: no task sees a block as a whole.
     """
     fingerprint = ["set_id", "n_set", "bits_a", "bits_b", "ones"]
-    keyed = sketched.select("tab", "set_id", "keys").dropDuplicates(["set_id"]).select("tab", "set_id", F.posexplode("keys").alias("k", "key")).select(F.xxhash64("tab", "k", "key").alias("block"), "set_id")
+    keyed = rep.select("tab", "set_id", F.posexplode("keys").alias("k", "key")).select(F.xxhash64("tab", "k", "key").alias("block"), "set_id")
     shared = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n_block")).where("n_block > 1")
-    rows = keyed.join(shared, "block").join(sketched.select(*fingerprint).distinct(), "set_id")
+    rows = keyed.join(shared, "block").join(rep.select(*fingerprint), "set_id")
     small = rows.where(F.col("n_block") <= TILE).select("block", F.lit(0).alias("side"), *fingerprint)
     big = rows.where(F.col("n_block") > TILE).withColumn("band", F.floor(F.col("ones") / BAND))
     cells = big.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
@@ -213,15 +213,15 @@ def near_duplicate_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``records(tab, key, text)`` -> members ``(tab, key, set_id)`` and links ``(tab, a, b, similarity)``.
 
     a and b (a < b) are classes of texts with equal sets of runs; every two classes of one table whose sets have
-    |A and B| / |A or B| >= 0.6 are linked, but for the chance of missing all blocks (1 in 1,500 at exactly 0.6).
+    |A and B| / |A or B| >= 0.6 are linked, but for the chance of missing all blocks (1 in 700 at exactly 0.6).
     """
     sketched = stage(classes(records), "sketched")
     members = sketched.select("tab", "key", "set_id").distinct()
-    pairs = stage(candidate_pairs(sketched), "pairs")
+    rep = stage(sketched.dropDuplicates(["set_id"]), "classes")
+    pairs = stage(candidate_pairs(rep), "pairs")
     # only the texts of classes that have a candidate are looked up again
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    first = sketched.groupBy("set_id").agg(F.min(F.struct("tab", "key", "text_hash")).alias("r")).select("set_id", "r.*")
-    wanted = first.join(ends, "set_id", "left_semi")
+    wanted = rep.join(ends, "set_id", "left_semi").select("tab", "key", "text_hash", "set_id")
     found = records.select("tab", "key", "text").withColumn("text_hash", F.xxhash64("text")).join(wanted, ["tab", "key", "text_hash"])
     texts = stage(found.groupBy("set_id").agg(F.min("tab").alias("tab"), F.min("text").alias("text")), "texts")
     left, right = texts.select("tab", F.col("set_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
