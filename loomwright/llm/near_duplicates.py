@@ -185,16 +185,22 @@ def classes(records: DataFrame) -> DataFrame:
     return long.select("tab", "key", F.xxhash64("text").alias("text_hash"), "s.*").withColumn("set_id", F.xxhash64("tab", "set_id"))
 
 
-def candidate_pairs(rep: DataFrame) -> DataFrame:
-    """``(a, b)``: pairs of classes of one table that share a block and whose fingerprints are within the radius.
+def _blocks_of(sketched: DataFrame) -> DataFrame:
+    return sketched.select("tab", "set_id", F.posexplode("keys").alias("k", "key")).select(F.xxhash64("tab", "k", "key").alias("block"), "set_id")
+
+
+def candidate_pairs(sketched: DataFrame) -> DataFrame:
+    """Sketches ``(tab, set_id, n_set, keys, bits_a, bits_b, ones)`` -> ``(a, b)``: pairs of classes of one table that share a block and whose fingerprints are within the radius.
 
     Blocks of more than TILE rows are cut by bands of bit counts, and bands of more than TILE rows by a hash, from counts
     that are summed before they are shuffled: no task sees a block as a whole.
     """
     fingerprint = ["set_id", "n_set", "bits_a", "bits_b", "ones"]
-    keyed = rep.select("tab", "set_id", F.posexplode("keys").alias("k", "key")).select(F.xxhash64("tab", "k", "key").alias("block"), "set_id")
-    shared = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n_block")).where("n_block > 1")
-    rows = keyed.join(shared, "block").join(rep.select(*fingerprint), "set_id")
+    # copies of one class count here too: a block of nothing but copies is looked at in vain
+    shared = _blocks_of(sketched).groupBy("block").agg(F.count(F.lit(1)).alias("n_block")).where("n_block > 1")
+    keyed = _blocks_of(sketched.select("tab", "set_id", "keys").dropDuplicates(["set_id"]))
+    # written, as small and large blocks and their counts would each work it out again
+    rows = stage(keyed.join(shared, "block").join(sketched.select(*fingerprint).distinct(), "set_id"), "block-rows")
     small = rows.where(F.col("n_block") <= TILE).select("block", F.lit(0).alias("side"), *fingerprint)
     big = rows.where(F.col("n_block") > TILE).withColumn("band", F.floor(F.col("ones") / BAND))
     cells = big.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
@@ -217,11 +223,11 @@ def near_duplicate_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     sketched = stage(classes(records), "sketched")
     members = sketched.select("tab", "key", "set_id").distinct()
-    rep = stage(sketched.dropDuplicates(["set_id"]), "classes")
-    pairs = stage(candidate_pairs(rep), "pairs")
+    pairs = stage(candidate_pairs(sketched), "pairs")
     # only the texts of classes that have a candidate are looked up again
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = rep.join(ends, "set_id", "left_semi").select("tab", "key", "text_hash", "set_id")
+    first = sketched.groupBy("set_id").agg(F.min(F.struct("tab", "key", "text_hash")).alias("r")).select("set_id", "r.*")
+    wanted = first.join(ends, "set_id", "left_semi")
     found = records.select("tab", "key", "text").withColumn("text_hash", F.xxhash64("text")).join(wanted, ["tab", "key", "text_hash"])
     texts = stage(found.groupBy("set_id").agg(F.min("tab").alias("tab"), F.min("text").alias("text")), "texts")
     left, right = texts.select("tab", F.col("set_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
