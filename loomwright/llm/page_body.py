@@ -5,13 +5,14 @@ the capacities of its edges to the two terminals; lines that follow each other,
 of the page's markup, are joined by smoothness edges. The minimum cut between the terminals splits the page.
 
 The classifier is a logistic regression on hashed words and word pairs of the line and on its kind of element. It is fitted on
-a bounded sample (at most 2 ``SAMPLE_PAGES`` pages of each table, none above ``SAMPLE_BYTES``) with labels that the data carry: containers whose role the markup states
-(nav, footer, aside, main, article and class names that say so), and, in cleaned pages without markup, blocks whose letters
-recur in a large part of their site's pages against headings, facts and rows. Everything else covers all pages.
+a bounded sample of labelled lines, drawn by hash (at most ``SAMPLE_LINES`` of each table), with labels that the data carry: containers whose role the markup states
+(nav, footer, aside, main, article and class names that say so; in ``SAMPLE_PAGES`` pages of any length), and, in cleaned pages without markup, blocks whose letters
+recur in a large part of their site's pages against headings, facts and rows. Those pages are counted over the whole table before lines are drawn. Everything else covers all pages.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -20,14 +21,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.shared import stage
 from .repeated_lines import letters
 from .spark import pandas_rows
 from .words import Words
 
 SAMPLE_PAGES = 2_000
-#: Pages above this size aren't drawn, as the sample goes to the driver.
-SAMPLE_BYTES = 100_000
+#: Labelled lines of a table, and their characters, that go to the driver.
+SAMPLE_LINES, SAMPLE_CHARS = 60_000, 10_000_000
 HASH_BITS = 16
 EPOCHS = 60
 #: Log odds that a stated role adds to the classifier's.
@@ -321,50 +324,70 @@ def _kind(kind: str | None) -> str:
     return {"heading": "heading", "list_item": "list_item", "table_row": "row", "fact": "row"}.get(kind or "", "paragraph")
 
 
-def _sample(pages: DataFrame, key: str, columns: list[str], n: int) -> list:
-    """n pages by the hash of their id, so that any page may be drawn."""
-    some = pages.where(F.col(key).isNotNull()).select(F.xxhash64(key, F.lit(7)).alias("h")).orderBy("h").limit(n).agg(F.max("h").alias("h")).first()["h"]
-    if some is None:
-        return []
-    return pages.where(F.col(key).isNotNull() & (F.xxhash64(key, F.lit(7)) <= some)).select(key, *columns).limit(2 * n).collect()
-
-
-def fit_model(raw_docs: DataFrame, clean_docs: DataFrame, sample_pages: int = SAMPLE_PAGES) -> tuple[np.ndarray, np.ndarray]:
-    """The line classifier, from at most 2 * ``sample_pages`` pages of either table."""
-    lines, kinds, labels = [], [], []
-    for row in _sample(raw_docs.where(f"length(raw_bytes) <= {SAMPLE_BYTES} AND length(extracted_text) <= {SAMPLE_BYTES}"), "raw_id", ["raw_bytes", "extracted_text"], sample_pages):
-        page = _lines(row["extracted_text"])
-        for line, (kind, _, role) in zip(page, aligned(page, bytes(row["raw_bytes"]))):
-            if role and line.strip():
-                lines.append(line)
-                kinds.append(kind)
-                labels.append(role == "furniture")
-    rows = _sample(clean_docs.where(f"blocks IS NOT NULL AND length(to_json(blocks)) <= {SAMPLE_BYTES}"), "doc_id", ["source_id", "blocks"], sample_pages)
-    pages: dict[str, set[str]] = {}
-    docs: dict[tuple[str, str], set[str]] = {}
-    for row in rows:
-        pages.setdefault(row["source_id"], set()).add(row["doc_id"])
-        for b in row["blocks"]:
-            if b is not None and b["text"]:
-                docs.setdefault((row["source_id"], letters(b["text"])), set()).add(row["doc_id"])
-    for row in rows:
-        for b in row["blocks"]:
-            if b is None or not b["text"] or not b["text"].strip():
-                continue
-            held = len(docs[row["source_id"], letters(b["text"])])
-            n = len(pages[row["source_id"]])
-            if b["kind"] in ("heading", "fact", "table_row"):
-                label = 0
-            elif held >= 5 and held >= 0.15 * n:
-                label = 1
-            elif len(b["text"].split()) >= 15 and held <= 2:
-                label = 0
-            else:
-                continue  # not known
-            lines.append(b["text"])
-            kinds.append(_kind(b["kind"]))
-            labels.append(label)
-    return fit(lines, kinds, labels, [1.0] * len(lines))
+@F.pandas_udf(T.StructType([T.StructField("line", T.BinaryType()), T.StructField("words", T.IntegerType())]))
+def _line_key(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"line": [hashlib.md5(letters(x).encode()).digest() for x in text], "words": [len(x.split()) for x in text]})
+
+
+def _stated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in pandas_rows(frames, 200):
+        out = []
+        for h, raw, text in zip(frame["h"], frame["raw_bytes"], frame["extracted_text"]):
+            page = _lines(text)
+            for k, (line, (kind, _, role)) in enumerate(zip(page, aligned(page, raw))):
+                if role and line.strip():
+                    out.append((h, k, line, kind, int(role == "furniture")))
+        yield pd.DataFrame(out, columns=["h", "k", "line", "kind", "label"])
+
+
+def stated_lines(raw_docs: DataFrame, sample_pages: int) -> DataFrame:
+    """``(h, chars, line, kind, label)`` of lines whose role the markup states, from pages by the hash of their id."""
+    keyed = raw_docs.where("raw_id IS NOT NULL AND raw_bytes IS NOT NULL AND extracted_text IS NOT NULL").withColumn("h", F.xxhash64("raw_id", F.lit(7)))
+    some = keyed.select("h").distinct().orderBy("h").limit(sample_pages).agg(F.max("h").alias("h")).first()["h"]
+    pages = keyed.where(F.col("h") <= some if some is not None else F.lit(False)).select("h", "raw_bytes", "extracted_text")
+    lines = pages.mapInPandas(_stated, "h long, k long, line string, kind string, label int")
+    return lines.select(F.xxhash64("h", "k", "line").alias("h"), F.length("line").alias("chars"), "line", "kind", "label").distinct()
+
+
+def recurring_lines(clean_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labelled lines ``(h, chars, label)`` of all pages, and ``(h, line, kind)`` of all lines. A line's label is that of its
+    letters in the whole of its source; a line that a page has several times is one."""
+    pages = clean_docs.where("doc_id IS NOT NULL AND blocks IS NOT NULL").select("doc_id", "source_id", "blocks")
+    n = pages.groupBy("source_id").agg(F.countDistinct("doc_id").alias("n"))
+    blocks = pages.select("doc_id", "source_id", F.explode("blocks").alias("b")).where("b.text <> ''")
+    lines = blocks.select("doc_id", "source_id", "b.kind", F.col("b.text").alias("line"), F.xxhash64("doc_id", "b.pos", "b.text").alias("h"))
+    keyed = lines.select("doc_id", "source_id", F.coalesce(F.col("kind").isin("heading", "fact", "table_row"), F.lit(False)).alias("own"), F.length("line").alias("chars"), "h", _line_key("line").alias("k"))
+    one = keyed.groupBy("source_id", F.col("k.line").alias("line"), "doc_id").agg(F.min(F.struct("h", "own", "chars", F.col("k.words").alias("words"))).alias("x"))
+    one = stage(one.select("source_id", "line", "x.*"), "page-lines")
+    held = one.groupBy("source_id", "line").agg(F.count(F.lit(1)).alias("held"))
+    held = held.withColumnsRenamed({"source_id": "s", "line": "l"})
+    counted = one.join(held, F.col("source_id").eqNullSafe(F.col("s")) & (F.col("line") == F.col("l")))
+    counted = counted.join(n.withColumnRenamed("source_id", "of"), F.col("source_id").eqNullSafe(F.col("of")))
+    label = F.when(F.col("own"), 0).when((F.col("held") >= 5) & (F.col("held") >= 0.15 * F.col("n")), 1).when((F.col("words") >= 15) & (F.col("held") <= 2), 0)
+    return counted.where("words > 0").select("h", "chars", label.alias("label")).where("label IS NOT NULL"), lines.select("h", "line", "kind")
+
+
+def _drawn(labelled: DataFrame, sample_lines: int) -> pd.DataFrame:
+    """The first lines by hash, as many as there is room for on the driver."""
+    first = labelled.select("h", "chars", "label").orderBy("h", "label").limit(sample_lines).toPandas()
+    return first[np.r_[0, np.cumsum(first["chars"].to_numpy())][: len(first)] < SAMPLE_CHARS]
+
+
+def fit_model(raw_docs: DataFrame, clean_docs: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_lines: int = SAMPLE_LINES) -> tuple[np.ndarray, np.ndarray]:
+    """The line classifier, from at most ``sample_lines`` labelled lines of either table."""
+    spark = clean_docs.sparkSession
+    stated = stage(stated_lines(raw_docs, sample_pages), "stated-lines")
+    labelled, texts = recurring_lines(clean_docs)
+    parts = []
+    for some, of, kind in ((_drawn(stated, sample_lines), stated, lambda k: k), (_drawn(labelled, sample_lines), texts, _kind)):
+        if len(some):
+            labels = spark.createDataFrame(some[["h", "label"]], "h long, label int")
+            rows = of.select("h", "line", "kind").where(F.col("h") <= int(some["h"].max())).join(F.broadcast(labels), "h").groupBy("h").agg(F.min(F.struct("line", "kind", "label")).alias("x")).select("h", "x.*").orderBy("h").toPandas()
+            parts.append(rows.assign(kind=[kind(k) for k in rows["kind"]]))
+    if not parts:
+        return fit([], [], [], [])
+    drawn = pd.concat(parts, ignore_index=True)
+    return fit(drawn["line"].tolist(), drawn["kind"].tolist(), drawn["label"].tolist(), [1.0] * len(drawn))
 
 
 def furniture_lines(raw_docs: DataFrame, clean_docs: DataFrame) -> DataFrame:

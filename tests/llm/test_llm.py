@@ -256,6 +256,24 @@ def test_furniture_of_held_out_pages(spark):
     assert kept["null"] is None and "Home" not in kept["r0"] and set(kept) == {r[0] for r in rows if r[0]}
 
 
+def test_labels_count_the_whole_source(spark):
+    rng = random.Random(11)
+    vocabulary = [f"{a}{b}{c}" for a in "bdkmt" for b in "aeiou" for c in "lnrs"]
+    notice, notes = "Call our desk on any working day", "Mutual funds bear market risk so read all of the papers with care before you put in money today"
+    rows = []
+    for i in range(60):
+        body = [("paragraph", " ".join(rng.choice(vocabulary) for _ in range(20))) for _ in range(3)]
+        rows.append((f"d{i}", "s", [*body, ("paragraph", notice)] + ([("paragraph", notes)] if i % 4 == 0 else []) + ([("paragraph", "long " * 30_000)] if i < 20 else [])))
+    clean, raw = pages(spark, rows), spark.createDataFrame([], RAW)
+    labelled, lines = page_body.recurring_lines(clean)
+    got = collections.Counter((r["line"][:8], r["label"]) for r in labelled.join(lines, "h").where(F.col("line").isin(notice, notes) | F.col("line").startswith("long")).collect())
+    assert got == {(notice[:8], 1): 60, (notes[:8], 1): 15, ("long lon", 1): 20}
+    model = page_body.fit_model(raw, clean, sample_pages=2)  # a sample of a few pages holds no line five times
+    assert (page_body.scores(model, [notice, notes], ["paragraph"] * 2) > 0).all() and (page_body.scores(model, [rows[0][2][0][1]], ["paragraph"]) < 0).all()
+    again = page_body.fit_model(raw, clean.unionByName(clean).repartition(3), sample_pages=2)
+    assert all(np.allclose(a, b) for a, b in zip(model, again))
+
+
 # 8
 
 
