@@ -1,13 +1,15 @@
 """Evaluation texts leaking into training text: the q-gram lemma as a filter, banded alignment as the proof.
 
 Both sides are cut into words (letters and digits of the folded text) and written with single blanks, so that spacing
-and punctuation don't count. If a document holds a stretch of an item with at most e edits, the stretch and the passage
-share at least L - q + 1 - q e runs of q characters, L being the length of the stretch, and all of them lie on
-neighbouring diagonals (position in the document minus position in the passage). So
+and punctuation don't count. An edit is a whole word, so a stretch of L characters with at most e edits consists of
+e + 1 equal pieces and e words of at most w characters with the blanks beside them. The longest piece has at least
+(L - e (w + 2)) / (e + 1) characters, however long the document's own words are, and its runs of q characters all lie on
+one diagonal (position in the document minus position in the passage). So
 
 1. the runs of q characters of all passages become a table, and every run of every document is looked up in it;
 2. hits are counted in overlapping bands of diagonals, by document and item;
-3. bands with fewer hits than the bound for the shortest stretch of ``min_words`` words of the item are dropped;
+3. bands with fewer hits than that piece has in any stretch of ``min_words`` words of the item are dropped (items whose
+   pieces may be shorter than q take a smaller q);
 4. what remains is aligned word by word within the band; a stretch of ``min_words`` words with at most ``max_edits``
    edited words is a leak, and its longest run of equal words is reported.
 
@@ -27,6 +29,8 @@ from .spark import pandas_rows
 from .words import Words, mix
 
 Q = 16
+#: For items of very short words; powers of two.
+SHORTER_Q = (8, 4, 2, 1)
 MIN_WORDS = 12
 MAX_EDITS = 1
 BAND = 16
@@ -54,11 +58,11 @@ def _squeeze(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return codes[take], np.r_[0, place[stop]]
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """Hash of the Q characters from each position on; shorter by Q - 1 than the text."""
+def _grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hash of the q characters from each position on; shorter by q - 1 than the text."""
     h, width = codes.astype(np.uint64) + np.uint64(1), 1
     base = 0x9E3779B97F4A7C15
-    while width < Q:  # Q is a power of two
+    while width < q:  # q is a power of two
         if len(h) <= width:
             return h[:0]
         h = h[:-width] * np.uint64(base) + h[width:]
@@ -67,36 +71,44 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def _shortest_piece(length: np.ndarray, min_words: int, max_edits: int) -> int:
+    """Characters that the longest equal piece of a stretch has at least, over all stretches of ``min_words`` words."""
+    if len(length) < min_words:
+        return 0
+    windows = np.lib.stride_tricks.sliding_window_view(length, min_words)
+    left = windows.sum(axis=1) + min_words - 1 - max_edits * (windows.max(axis=1) + 2)
+    return int(-(-left // (max_edits + 1)).min())
+
+
 class _Items:
-    """Passages of one round, with the table of their runs of Q characters."""
+    """Passages of one round that take the same q, with the table of their runs of q characters."""
 
-    def __init__(self, ids: list[int], passages: list[str], min_words: int, max_edits: int):
+    def __init__(self, ids: list[int], passages: list[str], min_words: int, max_edits: int, q: int):
+        self.q = q
         words = Words(passages)
         self.ids = np.array(ids, dtype=np.int64)
         self.word_hash = [words.hash[words.first[k] : words.first[k + 1]] for k in range(len(ids))]
         codes, start = _squeeze(words)
         self.word_at, self.first_word, self.start = _word_starts(words, start), words.first, start
-        grams = _grams(codes)
+        grams = _grams(codes, q)
         at = np.arange(len(grams))
         item = np.searchsorted(start, at, side="right") - 1
-        whole = at + Q <= start[item + 1] - 1
+        whole = at + q <= start[item + 1] - 1
         grams, at, item = grams[whole], at[whole], item[whole]
         order = np.argsort(grams, kind="stable")
         self.gram, self.place, self.item = grams[order], (at - start[item])[order], item[order]
         self.maybe = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.maybe[self.gram & np.uint64((1 << _TABLE_BITS) - 1)] = True
         length = words.end - words.start
-        sums = np.r_[0, np.cumsum(length + 1)]
         self.bound = np.full(len(ids), np.iinfo(np.int64).max)
         for k in range(len(ids)):
             a, b = words.first[k], words.first[k + 1]
             if b - a >= min_words:
-                shortest = int((sums[a + min_words : b + 1] - sums[a : b - min_words + 1]).min()) - 1
-                self.bound[k] = max(1, shortest - Q + 1 - Q * max_edits)
+                self.bound[k] = max(1, _shortest_piece(length[a:b], min_words, max_edits) - q + 1)
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place in ``codes``, item and place in the item's passage of all equal runs."""
-        grams = _grams(codes)
+        grams = _grams(codes, self.q)
         at = np.flatnonzero(self.maybe[grams & np.uint64((1 << _TABLE_BITS) - 1)])
         lo, hi = np.searchsorted(self.gram, grams[at], side="left"), np.searchsorted(self.gram, grams[at], side="right")
         n = hi - lo
@@ -151,34 +163,54 @@ def _next_unequal(row: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(at[::-1])[::-1]
 
 
+def _classes(ids: list[int], passages: list[str], min_words: int, max_edits: int) -> list[_Items]:
+    words = Words(passages)
+    length = words.end - words.start
+    piece = [_shortest_piece(length[words.first[k] : words.first[k + 1]], min_words, max_edits) for k in range(len(ids))]
+    least = [next((q for q in (Q, *SHORTER_Q) if q <= n), 1) for n in piece]
+    long_enough = np.diff(words.first) >= min_words
+    out = []
+    for q in (Q, *SHORTER_Q):
+        some = [k for k in range(len(ids)) if least[k] == q and long_enough[k]]
+        if some:
+            out.append(_Items([ids[k] for k in some], [passages[k] for k in some], min_words, max_edits, q))
+    return out
+
+
 def _search(ids: list[int], passages: list[str], min_words: int, max_edits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def found(frame: pd.DataFrame, words: Words, codes: np.ndarray, start: np.ndarray, items: _Items) -> list[tuple]:
+        at, item, place = items.hits(codes)
+        doc = np.searchsorted(start, at, side="right") - 1
+        pair = doc * len(items.ids) + item
+        diagonal = at - start[doc] - place + (1 << 31)
+        near = np.zeros(len(at), dtype=bool)
+        for half in (0, BAND // 2):  # every stretch of BAND / 2 diagonals lies whole in one of the bands
+            _, inverse, count = np.unique((pair << 32) + (diagonal + half) // BAND, return_inverse=True, return_counts=True)
+            near |= (count[inverse] >= items.bound[item]) if len(at) else near
+        at, item, place, doc, pair = at[near], item[near], place[near], doc[near], pair[near]
+        word = np.searchsorted(_word_starts(words, start), at, side="right") - 1 - words.first[doc]
+        of_item = np.searchsorted(items.word_at, items.start[item] + place, side="right") - 1 - items.first_word[item]
+        both = np.unique((pair << 32) + (word - of_item) + (1 << 31))
+        pair, shift = both >> 32, (both & 0xFFFFFFFF) - (1 << 31)
+        out = []
+        for group in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(pair)) + 1):
+            if not len(group):
+                continue
+            a, b = divmod(int(pair[group[0]]), len(items.ids))
+            diagonals = sorted({x + k for x in shift[group].tolist() for k in range(-max_edits, max_edits + 1)})
+            longest, aligned, edits = _align(words.hash[words.first[a] : words.first[a + 1]], items.word_hash[b], diagonals, min_words, max_edits)
+            if aligned >= min_words:
+                out.append((frame["doc_id"].iat[a], int(items.ids[b]), longest, aligned, edits))
+        return out
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = _Items(ids, passages, min_words, max_edits)
+        classes = _classes(ids, passages, min_words, max_edits)
         for frame in pandas_rows(frames, 1000, "text"):
             words = Words(frame["text"].tolist())
             codes, start = _squeeze(words)
-            at, item, place = items.hits(codes)
-            doc = np.searchsorted(start, at, side="right") - 1
-            pair = doc * len(ids) + item
-            diagonal = at - start[doc] - place + (1 << 31)
-            near = np.zeros(len(at), dtype=bool)
-            for half in (0, BAND // 2):  # every stretch of BAND / 2 diagonals lies whole in one of the bands
-                _, inverse, count = np.unique((pair << 32) + (diagonal + half) // BAND, return_inverse=True, return_counts=True)
-                near |= (count[inverse] >= items.bound[item]) if len(at) else near
-            at, item, place, doc, pair = at[near], item[near], place[near], doc[near], pair[near]
-            word = np.searchsorted(_word_starts(words, start), at, side="right") - 1 - words.first[doc]
-            of_item = np.searchsorted(items.word_at, items.start[item] + place, side="right") - 1 - items.first_word[item]
-            both = np.unique((pair << 32) + (word - of_item) + (1 << 31))
-            pair, shift = both >> 32, (both & 0xFFFFFFFF) - (1 << 31)
             out = []
-            for group in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(pair)) + 1):
-                if not len(group):
-                    continue
-                a, b = divmod(int(pair[group[0]]), len(ids))
-                diagonals = sorted({x + k for x in shift[group].tolist() for k in (-1, 0, 1)} if max_edits else set(shift[group].tolist()))
-                longest, aligned, edits = _align(words.hash[words.first[a] : words.first[a + 1]], items.word_hash[b], diagonals, min_words, max_edits)
-                if aligned >= min_words:
-                    out.append((frame["doc_id"].iat[a], items.ids[b], longest, aligned, edits))
+            for items in classes:
+                out += found(frame, words, codes, start, items)
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest_run", "aligned_words", "edits"])
 
