@@ -1,14 +1,12 @@
-"""The most similar vectors for every vector: a forest of sorted hash strings.
+"""The most similar vectors for every vector: all pairs, in cells.
 
-A tree gives each vector a string of 63 bits, the sides of random hyperplanes, and sorts the vectors by it. Vectors with
-the longest common prefix then stand next to each other, and going outwards from a vector is going up in the tree, to
-ever shorter prefixes. All trees are gone up at once until each has given ``REACH`` candidates on either side, whose
-similarity is computed exactly.
+The vectors are dealt into groups by hash, and a cell compares the vectors of one group with those of another, as
+products of blocks. Every pair of groups has its cell, so every vector meets every other one and the result is exact
+whatever groups of similar vectors there are. A cell keeps the best of each of its rows, ties to the smaller id, and the
+best of all cells are merged.
 
-In Spark a tree is a range partitioning by (tree, string) with sorted partitions. Each task walks its part of the
-sorted array in blocks of REACH vectors, compares a block with itself and its two neighbours as one matrix product,
-and keeps the best of each row; the best of all trees are merged. A task holds three blocks at a time, and the work
-is (trees x 3 REACH) similarities per vector at every size of the collection. Equal vectors are one vector with the smallest ids.
+The work is one product of all vectors with all, quadratic in their number; a cell holds ``GROUP`` vectors of either side
+and one block of products at a time. Equal vectors are one vector with the smallest ids.
 """
 
 from __future__ import annotations
@@ -24,7 +22,8 @@ from pyspark.sql.window import Window as W
 from ..sources.shared import stage
 
 K = 5
-TREES = 8
+#: Vectors of a group, groups that are made of fewer vectors to keep all cores busy, and vectors of a block.
+GROUP, SPREAD = 65_536, 4
 REACH = 2048
 BITS = 63
 SEED = 20_031
@@ -45,54 +44,42 @@ def planes(tree: int, dim: int, bits: int = BITS, seed: int = SEED) -> np.ndarra
     return np.random.default_rng([seed, tree]).standard_normal((dim, bits))
 
 
-def _strings(trees: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = (1 << np.arange(BITS, dtype=np.int64))[::-1]
-        for frame in frames:
-            if not len(frame):
-                continue
-            x = _unit(frame["embedding"])
-            packed = [np.asarray(v, dtype=np.float32).tobytes() for v in frame["embedding"]]
-            for t in range(trees):
-                s = ((x @ planes(t, x.shape[1])) > 0) @ weights
-                yield pd.DataFrame({"tree": np.int32(t), "s": s, "vec": frame["vec"], "vector": packed})
+def _best(k: int, reach: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The k most similar columns of each row of a cell; double precision, rounded to 9 digits."""
+        sides = [rows[rows["side"] == side] for side in (0, 1)]
+        if not len(sides[0]) or not len(sides[1]):
+            return pd.DataFrame({"vec": [], "other": [], "score": []})
+        (x, ids, _), (y, others, first) = [(_unit(pd.Series([np.frombuffer(v, dtype=np.float32) for v in r["vector"]])), r["vec"].to_numpy(), r["first"].to_numpy()) for r in sides]
+        out = []
+        for lo in range(0, len(x), 512):
+            own = x[lo : lo + 512]
+            row, at, score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+            bound = np.full(len(own), -2.0)
+            for f in range(0, len(y), reach):
+                s = own @ y[f : f + reach].T
+                s[ids[lo : lo + 512, None] == others[None, f : f + reach]] = -3
+                # what may be among the best after rounding, ties included
+                least = np.maximum(bound, np.partition(s, s.shape[1] - k, axis=1)[:, -k]) if s.shape[1] > k else bound
+                r, c = np.nonzero(s >= least[:, None] - 2e-9)
+                r, c = r[s[r, c] > -2], c[s[r, c] > -2]
+                new = np.concatenate([np.einsum("ij,ij->i", own[r[i : i + 65_536]], y[f + c[i : i + 65_536]]) for i in range(0, len(r), 65_536)] or [np.zeros(0)])
+                row, at, score = np.r_[row, r], np.r_[at, f + c], np.r_[score, np.round(new, 9)]
+                order = np.lexsort((first[at], -score, row))
+                row, at, score = row[order], at[order], score[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, at, score = row[place < k], at[place < k], score[place < k]
+                full = place[place < k] == k - 1
+                bound[row[full]] = score[full]
+            out.append(pd.DataFrame({"vec": ids[lo + row], "other": others[at], "score": score}))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
 
-def _walk(k: int, reach: int):
-    def best(x: np.ndarray, x32: np.ndarray, ids: np.ndarray, lo: int, hi: int, f: int, t: int) -> pd.DataFrame:
-        """The k + 1 most similar of rows f..t for each of rows lo..hi; chosen in single, scored in double precision."""
-        s = x32[lo:hi] @ x32[f:t].T
-        s[np.arange(hi - lo), np.arange(lo, hi) - f] = -2
-        n = min(k + 1, t - f - 1)
-        if n < 1:
-            return pd.DataFrame({"vec": ids[:0], "other": ids[:0], "score": x[:0, 0]})
-        at = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel() + f
-        own = np.repeat(np.arange(lo, hi), n)
-        return pd.DataFrame({"vec": ids[own], "other": ids[at], "score": np.round(np.einsum("ij,ij->i", x[own], x[at]), 9)})
-
-    def go(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for _, tree in rows.groupby("tree", sort=False):
-            flat = np.frombuffer(b"".join(tree["vector"]), dtype=np.float32).reshape(len(tree), -1)
-            x = _unit(pd.Series(list(flat)))
-            x32, ids = x.astype(np.float32), tree["vec"].to_numpy()
-            for lo in range(0, len(x), reach):
-                for a in range(lo, min(lo + reach, len(x)), 512):
-                    yield best(x, x32, ids, a, min(a + 512, lo + reach, len(x)), max(0, lo - reach), min(len(x), lo + 2 * reach))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            held.append(frame)
-            if sum(map(len, held)) > 16 * reach:
-                rows = pd.concat(held, ignore_index=True)
-                yield from go(rows)
-                held = [rows.iloc[-2 * reach :]]  # the last blocks come again, together with those that follow
-        if held:
-            yield from go(pd.concat(held, ignore_index=True))
-
-    return run
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"vec": frame["vec"], "first": frame["first"], "vector": [np.asarray(v, dtype=np.float32).tobytes() for v in frame["embedding"]]})
 
 
 def distinct_vectors(rows: DataFrame, id_: str, embedding: str, k: int = K) -> tuple[DataFrame, DataFrame]:
@@ -107,14 +94,20 @@ def distinct_vectors(rows: DataFrame, id_: str, embedding: str, k: int = K) -> t
     return members.select("id", "vec"), stage(vectors, "distinct-vectors")
 
 
-def vector_neighbours(vectors: DataFrame, k: int = K, trees: int = TREES, reach: int = REACH) -> DataFrame:
-    """``(vec, embedding)`` -> ``(vec, other, score)``, the best that the trees found, at least k of them if there are."""
-    strings = vectors.mapInPandas(_strings(trees), "tree int, s long, vec long, vector binary")
-    walked = strings.repartitionByRange("tree", "s").sortWithinPartitions("tree", "s").mapInPandas(_walk(k, reach), "vec long, other long, score double")
-    return walked.groupBy("vec", "other").agg(F.max("score").alias("score"))
+def vector_neighbours(vectors: DataFrame, k: int = K, reach: int = REACH) -> DataFrame:
+    """``(vec, first, embedding)`` -> ``(vec, other, score)``: the k most similar others of each vector, and more."""
+    n = vectors.count()
+    groups = max(-(-n // GROUP), min(SPREAD, -(-n // reach)), 1)
+    packed = vectors.select("vec", "first", "embedding").mapInPandas(_packed, "vec long, first long, vector binary")
+    of = F.pmod(F.xxhash64("vec", F.lit(3)), F.lit(groups))
+    every = F.sequence(F.lit(0), F.lit(groups - 1))
+    as_row = packed.select("*", F.lit(0).alias("side"), F.explode(every).alias("to")).withColumn("cell", of * groups + F.col("to"))
+    as_column = packed.select("*", F.lit(1).alias("side"), F.explode(every).alias("to")).withColumn("cell", F.col("to") * groups + of)
+    cells = as_row.unionByName(as_column).drop("to").repartition(groups * groups, "cell")
+    return cells.groupBy("cell").applyInPandas(_best(k, reach), "vec long, other long, score double")
 
 
-def nearest(rows: DataFrame, id_: str = "hit_id", embedding: str = "embedding", k: int = K, trees: int = TREES, reach: int = REACH) -> DataFrame:
+def nearest(rows: DataFrame, id_: str = "hit_id", embedding: str = "embedding", k: int = K, reach: int = REACH) -> DataFrame:
     """``(id, other_id, score, rank)``: the k most similar other rows of every row with a usable vector, by cosine in
     double precision rounded to 9 digits, ties to the smaller id.
 
@@ -122,7 +115,7 @@ def nearest(rows: DataFrame, id_: str = "hit_id", embedding: str = "embedding",
     once. With fewer than k + 1 usable rows each row gets all others.
     """
     members, vectors = distinct_vectors(rows, id_, embedding, k)
-    pairs = vector_neighbours(vectors.select("vec", "embedding"), k, trees, reach)
+    pairs = vector_neighbours(vectors.select("vec", F.element_at("ids", 1).alias("first"), "embedding"), k, reach)
     ids = vectors.select(F.col("vec").alias("other"), "ids")
     ranked = pairs.join(ids, "other").withColumn("r", F.row_number().over(W.partitionBy("vec").orderBy(F.desc("score"), F.element_at("ids", 1)))).where(F.col("r") <= k)
     near = ranked.groupBy("vec").agg(F.collect_list(F.struct("score", "ids")).alias("near"))  # at most k entries
