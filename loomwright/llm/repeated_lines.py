@@ -4,7 +4,7 @@ Lines are masked (numbers, dates and names become marks), the masked lines of a
 locality-sensitive hashing of their letter runs, and clusters found in many of the source's documents are dropped.
 
 Only distinct lines are hashed: a line is first counted by (source, its letters), so a notice in a million pages is one
-row. Lines that fall into a bucket are linked to the bucket's smallest line, verified by the similarity of their sets of
+row. Every line meets every other line of its buckets, in tiles of bounded size, verified by the similarity of their sets of
 letter runs, and clusters are the connected components. A line that no other resembles is a cluster of its own.
 """
 
@@ -28,6 +28,8 @@ MIN_SHARE = 0.2
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 GRAM = 4
+#: Lines of a bucket that are compared with as many others at once.
+TILE = 512
 
 _NOT_LETTER = regex.compile(r"\P{L}+")
 _DATE = regex.compile(r"\b\d{1,4}[-/. ](?:\d{1,2}|\p{L}{3,9})[-/. ]\d{1,4}\b")
@@ -96,6 +98,17 @@ def lines_of(pages: DataFrame) -> DataFrame:
     return at_site.where("b.text IS NOT NULL").select("doc_id", "source_id", F.col("b.pos").cast("long").alias("pos"), F.col("b.kind").alias("kind"), F.col("b.text").alias("text"))
 
 
+def _bucket_pairs(banded: DataFrame) -> DataFrame:
+    """``(bucket, mask_id)`` -> distinct ``(a, b)``, a < b: all pairs that share a bucket. A bucket's lines are dealt into
+    groups of about ``TILE``, and each pair of groups is a tile, so that no task gets a large bucket whole."""
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = banded.join(sizes, "bucket").withColumn("groups", F.ceil(F.col("n") / TILE).cast("int")).withColumn("g", F.pmod(F.xxhash64("mask_id", F.lit(5)), F.col("groups")).cast("int"))
+    left = dealt.select("bucket", F.col("g").alias("i"), F.explode(F.sequence("g", F.col("groups") - 1)).alias("j"), F.col("mask_id").alias("p"))
+    right = dealt.select("bucket", F.explode(F.sequence(F.lit(0), "g")).alias("i"), F.col("g").alias("j"), F.col("mask_id").alias("q"))
+    met = left.join(right, ["bucket", "i", "j"]).where((F.col("i") < F.col("j")) & (F.col("p") != F.col("q")) | (F.col("p") < F.col("q")))
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def repeated_lines(pages: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
     """``clean_docs`` -> lines ``(doc_id, source_id, pos, kind, text, line)`` and statistics of the repeated ones
     ``(source_id, line, line_docs, cluster, cluster_docs, pages)``.
@@ -111,8 +124,7 @@ def repeated_lines(pages: DataFrame, min_docs: int = MIN_DOCS, min_share: float
     counted = stage(counted.withColumn("mask_id", F.xxhash64("source_id", "masked")), "counted-lines")
     masks = counted.groupBy("mask_id", "source_id").agg(F.min("masked").alias("masked"))
     banded = masks.select("mask_id", "source_id", F.posexplode(_bands("masked")).alias("band", "h")).select(F.xxhash64("source_id", "band", "h").alias("bucket"), "mask_id")
-    buckets = banded.groupBy("bucket").agg(F.min("mask_id").alias("a"), F.max("mask_id").alias("z")).where("a < z")
-    near = banded.join(buckets.select("bucket", "a"), "bucket").where("mask_id <> a").select("a", F.col("mask_id").alias("b")).distinct()
+    near = _bucket_pairs(stage(banded, "banded-lines"))
     text = masks.select("mask_id", "masked")
     pairs = near.join(text.withColumnsRenamed({"mask_id": "a", "masked": "line_a"}), "a").join(text.withColumnsRenamed({"mask_id": "b", "masked": "line_b"}), "b")
     links = pairs.select("a", "b", "line_a", "line_b").mapInPandas(_similar, "a long, b long")
