@@ -39,12 +39,17 @@ def typed(registry: DataFrame) -> DataFrame:
     return registry.select(*text, as_bool(F.col("discover_only")).alias("discover_only"), as_bool(F.col("enabled")).alias("enabled"), host(F.col("url")).alias("host"))
 
 
-def violations(registry: DataFrame, hosts: list[str], schemes: list[str]) -> DataFrame:
+def violations(registry: DataFrame, hosts: list[str], schemes: list[str] | DataFrame) -> DataFrame:
     """``(source_id, url, rule)``: the first broken rule of each row, no row for sound ones.
 
-    Repeats of an id are found by a count that is joined back, so one id with many rows needs no window of its own."""
+    Repeats of an id are found by a count that is joined back, so one id with many rows needs no window of its own.
+    ``schemes`` are names, or a table of them in ``scheme``, of any size."""
     counts = registry.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     r = typed(registry).join(counts.select(F.coalesce("source_id", F.lit("")).alias("source_id"), "n").groupBy("source_id").agg(F.sum("n").alias("n")), "source_id")
+    if isinstance(schemes, DataFrame):
+        r = r.join(schemes.select("scheme", F.lit(True).alias("known")).distinct(), "scheme", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    else:
+        r = r.withColumn("known", F.col("scheme").isin(schemes))
     rule = (
         F.when(F.trim("source_id") == "", "empty_id")
         .when(F.col("n") > 1, "repeated_id")
@@ -52,7 +57,7 @@ def violations(registry: DataFrame, hosts: list[str], schemes: list[str]) -> Dat
         .when(~F.col("authority").isin(*AUTHORITIES), "authority")
         .when(F.col("discover_only").isNull() | F.col("enabled").isNull(), "truth_value")
         .when((F.col("authority") == "aggregator") & ~F.col("discover_only"), "citable_aggregator")
-        .when(~F.col("scheme").isin(schemes), "scheme")
+        .when(~F.col("known"), "scheme")
         .when(~F.col("doc_type").isin(*DOC_TYPES), "doc_type")
     )
     return r.select("source_id", "url", rule.alias("rule")).where("rule IS NOT NULL")
