@@ -90,3 +90,24 @@ class Words:
         text = np.repeat(np.arange(len(self.texts)), np.diff(self.first))
         fits = text[:n] == text[k - 1 :]
         return total[fits], text[:n][fits]
+
+
+def kinds_of_chars(codes: np.ndarray) -> np.ndarray:
+    """By character: 1 a letter, 2 a decimal digit, 3 a mark that goes with letters, 4 white space, 0 anything else."""
+    if "kind" not in _tables:
+        white = {*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+        of = {"L": 1, "M": 3}
+        _tables["kind"] = np.array([4 if i in white else 2 if (c := unicodedata.category(chr(i))) == "Nd" else of.get(c[0], 0) for i in range(0x33480)], dtype=np.uint8)
+    known = codes < len(_tables["kind"])
+    return np.where(known, _tables["kind"][np.where(known, codes, 0)], 0)
+
+
+def hashes_of_spans(codes: np.ndarray, counted: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the counted characters of each span; what isn't counted leaves no trace."""
+    place = np.r_[0, np.cumsum(counted)]
+    kept = codes[counted].astype(np.uint64) + np.uint64(1)
+    n = len(kept)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(kept * _powers("power", _BASE, n), out=sums[1:])
+    a, b = place[start], place[end]
+    return mix((sums[b] - sums[a]) * _powers("inverse", _INVERSE, n + 1)[a])
