@@ -195,13 +195,17 @@ _BEFORE = np.array([ord(c) for c in "#•·|»→"], dtype=np.uint32)
 
 
 @F.pandas_udf(_UNITS)
-def _analyse(text: pd.Series) -> pd.DataFrame:
+def _analysed(text: pd.Series) -> pd.DataFrame:
     parts = []
     for rows in pandas_rows([text.to_frame("text")], 2000, "text", 1_000_000):
         parts.append(pd.DataFrame(dict(zip(_UNITS.names, analyse(rows["text"].tolist())))))
     return pd.concat(parts, ignore_index=True)
 
 
+#: A filter on its result would otherwise be pushed below it and analyse every text a second time.
+_analyse = _analysed.asNondeterministic()
+
+
 def spam_evidence(documents: DataFrame) -> DataFrame:
     """``documents(doc_id, text, url, source)`` -> ``(doc_id, words, link_share, list_share, stitched_share, spam)``.
 
