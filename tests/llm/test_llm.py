@@ -160,7 +160,7 @@ def test_neighbours_are_the_brute_force_ones(spark):
     s = np.round(u @ u.T, 9)
     np.fill_diagonal(s, -2)
     want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -s[i]))[:5]}
-    for reach, least in ((2048, 1.0), (64, 0.9)):
+    for reach, least in ((720 * 16, 1.0), (160 * 16, 0.9)):
         got = {(r["id"], r["other_id"]) for r in neighbours.nearest(df, reach=reach).collect()}
         assert len(got & want) >= least * len(want)
     assert neighbours.nearest(df.limit(0)).count() == 0 and neighbours.nearest(vectors(spark, x[:3])).count() == 6
