@@ -19,13 +19,16 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _tables: dict[str, np.ndarray] = {}
 
 
+def unfolded(text: str | None) -> str:
+    """NFKC, without format characters; null is empty."""
+    if not text or text.isascii():
+        return text or ""
+    return _CF.sub("", unicodedata.normalize("NFKC", text))
+
+
 def fold(text: str | None) -> str:
     """NFKC, without format characters, in lower case; null is empty."""
-    if not text:
-        return ""
-    if text.isascii():
-        return text.lower()
-    return _CF.sub("", unicodedata.normalize("NFKC", text)).lower()
+    return unfolded(text).lower()
 
 
 def is_word_char() -> np.ndarray:
@@ -102,6 +105,14 @@ def kinds_of_chars(codes: np.ndarray) -> np.ndarray:
     return np.where(known, _tables["kind"][np.where(known, codes, 0)], 0)
 
 
+def is_upper(codes: np.ndarray) -> np.ndarray:
+    """Which characters are capital letters?"""
+    if "upper" not in _tables:
+        _tables["upper"] = np.array([unicodedata.category(chr(i)) == "Lu" for i in range(0x20000)])
+    known = codes < len(_tables["upper"])
+    return _tables["upper"][np.where(known, codes, 0)] & known
+
+
 def hashes_of_spans(codes: np.ndarray, counted: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the counted characters of each span; what isn't counted leaves no trace."""
     place = np.r_[0, np.cumsum(counted)]
