@@ -142,7 +142,7 @@ def _signed(line: pd.Series) -> pd.DataFrame:
         for j in range(low.shape[1]):
             out[:, j // ROWS] = mix(out[:, j // ROWS] + low[:, j].astype(np.uint64) + np.uint64(j))
         bands += list(out.view(np.int64))
-        sigs += [x.tobytes() for x in (low >> np.uint32(24)).astype(np.uint8)]
+        sigs += [x.tobytes() for x in (mix(low.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)]  # a minimum's own leading bits are all small
     return pd.DataFrame({"bands": pd.Series(bands, dtype=object), "sig": pd.Series(sigs, dtype=object)})
 
 
