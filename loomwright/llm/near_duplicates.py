@@ -89,7 +89,7 @@ def _sketch(texts: list[str | None], min_words: int = MIN_WORDS, run: int = RUN)
 
 
 @F.pandas_udf(_SKETCH)
-def _sketch_udf(text: pd.Series) -> pd.DataFrame:
+def _sketched(text: pd.Series) -> pd.DataFrame:
     rows: list[dict | None] = []
     for part in pandas_rows([text.to_frame("text")], 250, "text", 500_000):
         rows += _sketch(part["text"].tolist())
@@ -97,6 +97,10 @@ def _sketch_udf(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([r or blank for r in rows], columns=_SKETCH.names).astype({"set_id": "Int64", "n_set": "Int32", "bits_a": "Int64", "bits_b": "Int64", "ones": "Int32"})
 
 
+#: A filter on its result would otherwise be pushed below it and sketch every text a second time.
+_sketch_udf = _sketched.asNondeterministic()
+
+
 def _blocks(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows arrive sorted by block; yields whole blocks, a frame's last block being held back for the next frame."""
     held: pd.DataFrame | None = None
