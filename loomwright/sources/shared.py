@@ -35,17 +35,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def one_delivery(df: DataFrame, key: str) -> DataFrame:
-    """One row for each value of ``key``: of several, the one with the smallest hash of all columns, ties being equal rows.
+def one_delivery(df: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of ``keys``: of several, the one with the smallest hash of its other columns, ties being
+    equal rows.
 
-    Only rows whose key comes again are grouped; all others pass as they are, without being sorted by their content.
+    Only rows whose keys come again are grouped; all others pass as they are, without being sorted by their content.
     Rows without a key go."""
-    again = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
-    single = df.where(F.col(key).isNotNull()).join(again, key, "left_anti")
-    hashed = df.join(again, key, "left_semi").withColumn("_h", F.xxhash64(*[c for c in df.columns if c != key]))
-    rest = [c for c in df.columns if c != key]
-    chosen = hashed.groupBy(key).agg(F.min_by(F.struct(*rest), "_h").alias("_r")).select(key, "_r.*")
-    return single.unionByName(chosen.select(*df.columns)).select(*df.columns)
+    rest = [c for c in df.columns if c not in keys]
+    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    chosen = df.join(again, list(keys), "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_r")).select(*keys, "_r.*")
+    return df.join(again, list(keys), "left_anti").select(*df.columns).unionByName(chosen)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
