@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..sources.shared import stage
+from ..sources.shared import one_delivery, stage
 
 #: Labels, the stronger first: where items overlap, the first one holds.
 LABELS = ("email", "pan", "ifsc", "demat", "aadhaar", "phone_in", "account", "otp", "address", "name")
@@ -73,7 +73,8 @@ _NAME_LINE = re.compile(rf"^\s*(?P<title>{_TITLE})?(?P<name>{_NAME})\s*[.,]?\s*$
 _NOT_NAME = re.compile(r"\b(?:fund|index|house|direct|online|desk|plan|scheme|bank|services?|investor|holder|sip|nav|fundhouse|editors?|team|register|login|portfolio|stocks|settings|story|bills|corner|room|orders|exit|load|expense|ratio|related|popular|quick|benchmark|lock|minimum|stamp|duty|joint|minor|folios|payout|option|tax|new|offers?|app)\b", _I)
 # cheap looks that spare most texts the patterns
 _ODD = re.compile(r"[^\x00-\x7f\u0900-\u0965\u0970-\u097f₹·»«›‹©•™®“”‘’…]")
-_DIGITS = re.compile(r"(?<![\d.,])(?<!₹ )(?<!₹)\d{4}")
+_DIGITS = re.compile(r"\d(?:[ .\-/]{0,2}\d){3}")
+_AT = re.compile(r"\bat\s*[\])}>]")
 _CUES = ("signed by", "account of", "yours ", "name is", "nominee is", " holder,", "posted by", "written by", "this is", "regards,", "in the name of", "on behalf of")
 _STREETS = ("road", "lane", "street", "marg", "gali", "main", "cross", "avenue", "bazaar", "nagar", "chowk", "path", "drive", "boulevard", "circle", " way,", " rd,", " st,", " ave,")
 _FULL = [("email", _MAIL), ("pan", _PAN), ("ifsc", _IFSC), ("demat", _DEMAT), ("phone_in", _PHONE)]
@@ -125,7 +126,7 @@ def find(text: str | None, hosts: frozenset[str] = frozenset()) -> list[tuple[in
             entity, given = _name_entity(name)
             add(m.start("name"), m.end("name"), "name", entity, _gender(m.group("title") or "", given))
 
-    if "@" in t or "at]" in low or "at)" in low or " dot " in low or "at}" in low or "at>" in low:
+    if "@" in t or " dot " in low or _AT.search(low):
         for m in _MAIL.finditer(t):
             if (re.search(r"[@\[({<]", m.group()) or " dot " in m.group().lower()) and _host(m.group(2)) not in hosts:
                 add(m.start(), m.end(), "email", f"{m.group(1).lower()}@{_DOT.sub('.', m.group(2)).lower()}")
@@ -349,15 +350,19 @@ def _rewrite(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def replacements(texts: DataFrame, registry: DataFrame, key: str) -> DataFrame:
+    """``(tab, row_key, label, start_pos, end_pos, value, made)``: every item with the surrogate that takes its place."""
+    items = stage(personal_items(texts, registry), "items")
+    return items.join(surrogates(items, key), ["label", "entity"]).select("tab", "row_key", "label", "start_pos", "end_pos", "value", "made")
+
+
 def pseudonymised(texts: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """``(tab, row_key, text, n_items)``: every text, its items replaced by placeholders such as ``[PAN QWXYZ1234K]``.
 
-    Null texts stay null. A row that comes twice comes once, with its smallest text.
+    Null texts stay null. A row that comes twice comes once, with the text of the smallest hash.
     """
-    once = texts.where("row_key IS NOT NULL").groupBy("tab", "row_key").agg(F.min("text").alias("text"))
-    items = stage(personal_items(once, registry), "items")
-    made = surrogates(items, key)
-    spans = items.join(made, ["label", "entity"]).groupBy("tab", "row_key").agg(F.collect_list(F.struct("start_pos", "end_pos", "label", "value", "made")).alias("spans"))
+    once = one_delivery(texts.where("row_key IS NOT NULL").select("tab", "row_key", "text"), "tab", "row_key")
+    spans = replacements(once, registry, key).groupBy("tab", "row_key").agg(F.collect_list(F.struct("start_pos", "end_pos", "label", "value", "made")).alias("spans"))
     return once.join(spans, ["tab", "row_key"], "left").select("tab", "row_key", _rewrite("text", "spans").alias("text"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_items"))
 
 
