@@ -31,8 +31,15 @@ def sized_documents(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "source", n_tokens(F.col("text")).alias("tokens"), h.alias("h"))
 
 
-def mix_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """What each source of each mix has to give, one row per target:
+def histogram(sized: DataFrame) -> DataFrame:
+    """``(source, bucket, tokens, upto)``: tokens by the leading bits of the hash, and their running sum in the source. The
+    last running sum is all that a source has, so plan and first level of the thresholds need one pass over the documents."""
+    sums = sized.groupBy("source", F.shiftright("h", 40 - BUCKET_BITS).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
+    return stage(sums.withColumn("upto", F.sum("tokens").over(W.partitionBy("source").orderBy("bucket"))), "histogram")
+
+
+def mix_plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
+    """What each source of each mix has to give, from the histogram, one row per target:
     ``(mix_id, source, weight, max_repeats, wanted, available, copies, rest, reachable)``.
 
     A source that is named twice in one mix counts with the sum of its weights and the larger cap. Null weights, factors
@@ -41,7 +48,7 @@ def mix_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     clean = targets.where("mix_id IS NOT NULL AND source IS NOT NULL").groupBy("mix_id", "source").agg(
         F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats"), F.max(F.coalesce("size_factor", F.lit(0.0))).alias("size_factor")
     )
-    per_source = stage(sized.groupBy("source").agg(F.sum("tokens").alias("available")), "source-tokens")  # read twice below
+    per_source = counted.groupBy("source").agg(F.max("upto").alias("available"))
     total = per_source.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"))
     joined = clean.join(per_source, "source", "left").crossJoin(F.broadcast(total))  # one row
     wanted, have = F.col("weight") * F.col("size_factor") * F.col("total"), F.coalesce("available", F.lit(0))
@@ -52,7 +59,7 @@ def mix_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumn("rest", F.when(F.col("reachable"), F.col("wanted") - F.col("copies") * F.col("available")).otherwise(F.lit(0.0)))
 
 
-def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
+def thresholds(sized: DataFrame, counted: DataFrame, plan: DataFrame) -> DataFrame:
     """``(mix_id, source, below)``: documents of the source with h < below make up the rest that the mix wants.
 
     The sum stays under the rest by less than one document (or by the documents that share one 40-bit hash).
@@ -60,13 +67,14 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     levels = 40 // BUCKET_BITS
     open_ = plan.where("rest > 0").select("mix_id", "source", F.col("rest").alias("left"), F.lit(0).cast("long").alias("prefix"))
     for level in range(levels):
-        shift = 40 - BUCKET_BITS * (level + 1)
-        bucket = F.shiftright("h", shift)
-        at_prefix = sized.where("source IS NOT NULL").select("source", F.shiftright(bucket, BUCKET_BITS).alias("prefix"), bucket.alias("bucket"), "tokens")
-        if level:
-            at_prefix = at_prefix.join(open_.select("source", "prefix").distinct(), ["source", "prefix"], "left_semi")
-        sums = at_prefix.groupBy("source", "prefix", "bucket").agg(F.sum("tokens").alias("tokens"))
-        running = sums.withColumn("upto", F.sum("tokens").over(W.partitionBy("source", "prefix").orderBy("bucket")))
+        bucket = F.shiftright("h", 40 - BUCKET_BITS * (level + 1))
+        if level == 0:
+            running = counted.where("source IS NOT NULL").select("source", F.lit(0).cast("long").alias("prefix"), "bucket", "upto")
+        else:
+            inside = sized.where("source IS NOT NULL").select("source", F.shiftright(bucket, BUCKET_BITS).alias("prefix"), bucket.alias("bucket"), "tokens")
+            inside = inside.join(open_.select("source", "prefix").distinct(), ["source", "prefix"], "left_semi")
+            sums = inside.groupBy("source", "prefix", "bucket").agg(F.sum("tokens").alias("tokens"))
+            running = sums.withColumn("upto", F.sum("tokens").over(W.partitionBy("source", "prefix").orderBy("bucket")))
         held = open_.join(running, ["source", "prefix"])
         inside = held.groupBy("mix_id", "source", "prefix", "left").agg(
             F.coalesce(F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))), F.lit(0)).alias("taken"),
@@ -81,8 +89,9 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
 def mixed_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """``(mix_id, source, doc_id, copies)``: how often each document is used in each mix, if at all."""
     sized = stage(sized_documents(documents), "sized")
-    plan = stage(mix_plan(sized, targets), "mix-plan")
-    cut = thresholds(sized, plan)
+    counted = histogram(sized)
+    plan = stage(mix_plan(counted, targets), "mix-plan")
+    cut = thresholds(sized, counted, plan)
     rule = plan.select("mix_id", "source", "copies").join(cut, ["mix_id", "source"], "left")
     used = sized.join(rule, "source").withColumn("copies", F.col("copies") + F.when(F.col("h") < F.col("below"), 1).otherwise(0))
     return used.where("copies > 0").select("mix_id", "source", "doc_id", "copies", "tokens")
@@ -91,8 +100,9 @@ def mixed_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
 def mix_report(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """Share wanted and reached by each source of each mix, in tokens."""
     sized = stage(sized_documents(documents), "sized")
-    plan = stage(mix_plan(sized, targets), "mix-plan")
-    cut = thresholds(sized, plan)
+    counted = histogram(sized)
+    plan = stage(mix_plan(counted, targets), "mix-plan")
+    cut = thresholds(sized, counted, plan)
     rule = plan.select("mix_id", "source", "copies").join(cut, ["mix_id", "source"], "left")
     used = sized.join(rule, "source").groupBy("mix_id", "source").agg(F.sum((F.col("copies") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)) * F.col("tokens")).alias("used"))
     out = plan.join(used, ["mix_id", "source"], "left").withColumn("used", F.coalesce("used", F.lit(0)))
@@ -101,5 +111,6 @@ def mix_report(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def unreachable(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(mix_id, source)`` of the targets that can't be reached within their cap of repeats."""
-    return mix_plan(sized_documents(documents), targets).where("NOT reachable").select("mix_id", "source")
+    """``(mix_id, source)`` of the targets that can't be reached within their cap of repeats: what they want is beyond the
+    last running sum of their source's histogram, taken as often as the cap allows."""
+    return mix_plan(histogram(sized_documents(documents)), targets).where("NOT reachable").select("mix_id", "source")
