@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import table
+from ..sources.shared import one_delivery, table
 from . import contamination, mixing, near_duplicates, neighbours, page_body, personal_data, repeated_lines, spam_pages, splitting, varied_subset
 
 #: Key of the surrogates in the queries; a deployment passes its own secret.
@@ -36,8 +36,9 @@ def p1_cleaned(spark, d):
 
 
 def p2_found(spark, d):
-    items = _chunks(spark, d).distinct()
-    pieces = splitting.piece_offsets(splitting.text_ranges(items))
+    # a chunk that was loaded with several texts has pieces of each
+    items = _chunks(spark, d).where("item IS NOT NULL").select(F.concat_ws("\u0001", "item", F.xxhash64("text").cast("string")).alias("item"), "text")
+    pieces = splitting.piece_offsets(splitting.text_ranges(one_delivery(items, "item"))).withColumn("item", F.element_at(F.split("item", "\u0001"), 1))
     return pieces.where("n_pieces > 1").select(F.col("item").alias("chunk_id")).distinct()
 
 
@@ -46,7 +47,7 @@ def p2_pieces(spark, d):
 
 
 def p3_found(spark, d):
-    return personal_data.personal_items(_pii(spark, d), table(spark, d, "source_registry")).select("tab", "row_key", "label", "start_pos").distinct()
+    return personal_data.replacements(_pii(spark, d), table(spark, d, "source_registry"), EXAMPLE_KEY).select("tab", "row_key", "label", "start_pos").distinct()
 
 
 def p3_pseudonymised(spark, d):

@@ -80,18 +80,22 @@ def pieces_ok(text, pieces, most=256, overlap=40):
     assert before == len(found) - 1
 
 
-@pytest.mark.parametrize("size", [100, 700, 65_536])
-def test_pieces_tile_the_text(spark, size):
-    rng = random.Random(size)
-    texts = {"a": " ".join(rng.choice(["word", "end.", "x" * 30, "line\n", "para\n\n", "wide　", "nb sp"]) for _ in range(1500)), "b": "one", "c": "  lead " + "y" * 3000 + " tail\n", "d": "z " * 256, "e": "z " * 257}
+def test_pieces_tile_the_text(spark):
+    rng = random.Random(5)
+    texts = {"a": " ".join(rng.choice(["word", "end.", "x" * 30, "line\n", "para\n\n", "wide　", "nb sp"]) for _ in range(9000)), "b": "one", "c": "  lead " + "y" * 3000 + " tail\n", "d": "z " * 256, "e": "z " * 257}
     df = spark.createDataFrame([*texts.items(), ("null", None), ("blank", " \n"), (None, "x"), ("b", "one")], "item string, text string").withColumn("n", F.lit(1)).withColumn("part", F.lit("?"))
-    got = collections.defaultdict(list)
-    for r in splitting.split_items(df, size=size).orderBy("item", "piece").collect():
-        got[r["item"]].append(r)
-    assert set(got) == set(texts)
-    for k, t in texts.items():
-        pieces_ok(t, got[k])
-    assert len(got["d"]) == 1 and len(got["e"]) >= 2 and (size < 1000 or len(got["e"]) == 2)  # short ranges cut more often
+    of_size = []
+    for size in (100, 4096, 65_536):
+        got = collections.defaultdict(list)
+        for r in splitting.split_items(df, size=size).orderBy("item", "piece").collect():
+            got[r["item"]].append(r)
+        assert set(got) == set(texts)
+        for k, t in texts.items():
+            pieces_ok(t, got[k])
+            assert [(r["piece"], r["n_pieces"]) for r in got[k]] == [(i + 1, len(got[k])) for i in range(len(got[k]))]
+        assert len(got["d"]) == 1 and len(got["e"]) == 2
+        of_size.append({k: [tuple(r) for r in v] for k, v in got.items()})
+    assert of_size[0] == of_size[1] == of_size[2]  # where ranges begin changes nothing
 
 
 def test_pieces_prefer_natural_cuts(spark):
@@ -100,12 +104,16 @@ def test_pieces_prefer_natural_cuts(spark):
     assert all(text[r["char_end"] : r["char_end"] + 2] == "\n\n" for r in rows[:-1])
 
 
-def test_files_are_read_by_ranges(spark, tmp_path):
-    text = " ".join(f"w{i}." for i in range(20_000))
-    (tmp_path / "f").write_text(text)
-    files = spark.createDataFrame([("f", str(tmp_path / "f"), len(text))], "item string, path string, bytes long")
-    rows = splitting.piece_offsets(splitting.file_ranges(files, 10_000)).orderBy("piece").collect()
-    pieces_ok(text, [r.asDict() | {"text": text[r["char_start"] : r["char_end"]]} for r in rows])
+@pytest.mark.parametrize("size", [64, 10_000])
+def test_files_are_read_by_ranges(spark, tmp_path, size):
+    text = " ".join(f"voilà{i}. निवेशक को\u00a0x" for i in range(3000)) + " 😀"
+    raw = text.encode()
+    (tmp_path / "f").write_bytes(raw)
+    files = spark.createDataFrame([("f", str(tmp_path / "f"), len(raw)), ("none", str(tmp_path / "f"), 0)], "item string, path string, bytes long")
+    rows = splitting.piece_offsets(splitting.file_ranges(files, size), in_bytes=True).orderBy("piece").collect()
+    place = {b: k for k, b in enumerate(np.r_[0, np.cumsum([len(c.encode()) for c in text])].tolist())}
+    in_chars = [r.asDict() | {"char_start": place[r["char_start"]], "char_end": place[r["char_end"]]} for r in rows]
+    pieces_ok(text, [r | {"text": text[r["char_start"] : r["char_end"]]} for r in in_chars])
 
 
 # 3
