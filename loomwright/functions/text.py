@@ -9,14 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The forms that answers are compared in.
-NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)*%?"
-ABBREVIATIONS = ("p.a", "rs", "no", "dr", "mr", "mrs", "ms", "vs", "etc", "approx", "min", "max")
-MARKDOWN_LINK = r"\[([^\]]*)\]\((?:https?://)[^)]+\)"
-BARE_URL = r"(?:https?://|www\.)[^\s)\]]+"
-FIGURE = r"(?:(?:₹|[Rr]s\.?) ?[0-9]|[0-9]+\.[0-9]+|[0-9]{3,}|[0-9]%)"
-
-_MARK = "\u0001"
+#: A number with its separators inside.
+NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+#: A link in Markdown, and an address up to its last character that isn't punctuation.
+LINK = r"\[([^\[\]]*)\]\(\s*[^\s()]+\s*\)"
+ADDRESS = r"\b(?:[a-z]+://|www\.)\S*[^\s.,;:!?)\]]"
+#: An amount: with a currency, a percentage, a fraction or at least three digits.
+FIGURE = r"(?i)(?:₹|\brs\b\.?|\binr\b)\s*[0-9]|[0-9]\s*(?:%|per ?cent\b)|[0-9][.,][0-9]|[0-9]{3}"
+#: Words that end with a stop inside a sentence, besides single letters.
+SHORTENED = ("rs", "dr", "mr", "mrs", "ms", "shri", "smt", "no", "vs", "etc", "approx", "incl", "excl", "dept", "govt", "ltd")
 
 
 def words(text: Column) -> Column:
@@ -50,28 +51,38 @@ def number_tokens(text: Column) -> Column:
 
 
 def normal_number(token: Column) -> Column:
-    """Without separators, currency, percent and star marks, ends trimmed."""
-    out = F.lower(F.trim(token))
-    for mark in (",", "₹", "rs.", "rs", "%", "*"):
-        out = F.replace(out, F.lit(mark), F.lit(""))
-    return F.rtrim(F.trim(out), F.lit("."))
+    """Digits and decimal point only: the separators of thousands go."""
+    return F.regexp_replace(token, "[^0-9.]", "")
+
+
+def normal_answer(text: Column) -> Column:
+    """The form in which answers are compared with what is expected: lower case, no currency, no separators of thousands, no
+    zeros at the end of a fraction, single blanks."""
+    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"₹|\brs\b\.?|\binr\b", " ")
+    low = F.regexp_replace(F.regexp_replace(low, r"(?<=[0-9]),(?=[0-9])", ""), r"([0-9]+)\.0+(?![0-9])|([0-9]+\.[0-9]*[1-9])0+(?![0-9])", "$1$2")
+    return spaced(F.regexp_replace(low, r"(?<=[0-9])\s+%", "%"))
+
+
+def answer_fits(answer: Column, expected: Column, forbidden: Column) -> Column:
+    """Does the answer hold one of the expected texts (if there are any) and none of the forbidden ones?"""
+    said = normal_answer(answer)
+    holds = lambda x: F.contains(said, normal_answer(x))
+    wanted, barred = F.coalesce(expected, F.array().cast("array<string>")), F.coalesce(forbidden, F.array().cast("array<string>"))
+    return ((F.size(wanted) == 0) | F.exists(wanted, holds)) & ~F.exists(barred, holds)
 
 
 def numbers_supported(answer: Column, evidence: Column) -> Column:
-    """Is every number of the answer in the evidence, not as a part of a longer one?"""
-    hay = normal_number(F.coalesce(evidence, F.lit("")))
-    needles = F.filter(F.transform(number_tokens(F.coalesce(answer, F.lit(""))), normal_number), lambda n: n != "")
-    return F.forall(needles, lambda n: F.rlike(hay, F.concat(F.lit(r"(?<![0-9.])"), F.replace(n, F.lit("."), F.lit(r"\.")), F.lit(r"(?![0-9])"))))
+    """Is every number of the answer one of the evidence's numbers? Both are sets of whole numbers, so that a part of a
+    longer number supports nothing."""
+    found = lambda c: F.transform(number_tokens(F.coalesce(c, F.lit(""))), normal_number)
+    return F.size(F.array_except(found(answer), found(evidence))) == 0
 
 
 def sentences(text: Column) -> Column:
-    """Sentences, split after . ! ? and white space, but not after abbreviations and inside decimals."""
-    out = text
-    for short in ABBREVIATIONS:
-        out = F.regexp_replace(out, r"(?i)\b(" + short.replace(".", r"\.") + r")\.", "$1" + _MARK)
-    out = F.regexp_replace(out, r"(?<=[0-9])\.(?=[0-9])", _MARK)
-    parts = F.transform(F.split(out, r"(?<=[.!?])\s+"), lambda s: F.trim(F.replace(s, F.lit(_MARK), F.lit("."))))
-    return F.filter(parts, lambda s: s != "")
+    """Sentences, with single blanks between words. They are parted by the white space after a word that ends with . ! ? (and
+    a quote or bracket), unless it is a single letter, as in "p.a.", or one of SHORTENED."""
+    gap = r"""(?i)(?<=[.!?]|[.!?]["”’)\]])(?<!\b(?:[a-z]|""" + "|".join(SHORTENED) + r""")\.)\s+"""
+    return F.filter(F.transform(F.split(text, gap), spaced), lambda s: s != "")
 
 
 def first_sentences(text: Column, n: int = 3) -> Column:
@@ -83,8 +94,7 @@ def first_sentences(text: Column, n: int = 3) -> Column:
 
 def without_urls(text: Column) -> Column:
     """Markdown links as their labels, bare addresses gone, blanks single."""
-    out = F.regexp_replace(text, MARKDOWN_LINK, "$1")
-    out = F.regexp_replace(out, BARE_URL, "")
+    out = F.regexp_replace(F.regexp_replace(text, LINK, "$1"), ADDRESS, "")
     return F.trim(F.regexp_replace(out, r"[ \t]{2,}", " "))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import one_delivery
 from .blocks import METRIC, exploded
 
 BODY, OVERLAP, HARD = 220, 40, 256
@@ -21,119 +23,108 @@ CHUNK = T.StructType([
     T.StructField("block_kind", T.StringType()), T.StructField("token_count", T.IntegerType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()),
 ])
 
-_METRIC = re.compile(METRIC)
-_END = re.compile(r"[.!?]\s*$")
-
-
 def chunk_id(source: Column, index: Column, text: Column) -> Column:
     """The first 32 hex digits of a hash of source, place and text: a repeated ingest gives the same ids."""
     return F.substring(F.sha2(F.concat_ws("|", source, index.cast("string"), text), 256), 1, 32)
 
 
 def kind_of(kinds: set[str], faq: str) -> str:
-    if faq:
-        return "faq"
-    return "fact" if "fact" in kinds else "table" if "table_row" in kinds else "section" if kinds and kinds <= {"heading"} else "prose"
-
-
-class _Packer:
-    """Packs the lines of one document; a document's blocks are one row, so only that document is in memory."""
-
-    def __init__(self, footer: str):
-        self.footer, self.room = footer, HARD - len(footer.split())
-        self.chunks: list[dict] = []
-        self.lines: list[tuple[str, str, int]] = []
-        self.pending: list[tuple[str, str, int]] = []
-        self.section = self.faq = ""
-
-    @staticmethod
-    def size(lines) -> int:
-        return sum(len(x[0].split()) for x in lines)
-
-    def flush(self) -> None:
-        lines, self.lines, faq, self.faq = self.lines, [], self.faq, ""
-        body = [x for x in lines if x[1] != "heading"]
-        if not lines or not body and not faq:
-            self.pending += lines
-            return
-        if not faq and not any(x[1] in ATOMIC for x in body) and self.size(body) < MIN_ALONE and not any(_END.search(x[0]) for x in body):
-            self.pending += lines
-            return
-        if self.pending and self.size(self.pending) + self.size(lines) <= self.room:
-            lines, self.pending = self.pending + lines, []
-        self.emit(lines, faq)
-
-    def emit(self, lines, faq: str = "") -> None:
-        text = "\n".join(x[0] for x in lines)
-        whole = f"{text}\n{self.footer}" if self.footer else text
-        self.chunks.append({
-            "chunk_index": len(self.chunks), "text": whole, "section": self.section, "faq_question": faq, "block_kind": kind_of({x[1] for x in lines}, faq),
-            "token_count": len(whole.split()), "char_start": min(x[2] for x in lines), "char_end": max(x[2] + len(x[0]) for x in lines),
+    """The kind of a chunk by what it holds: a question, facts, rows, any heading, else prose."""
+    return "faq" if faq else next((name for kind, name in (("fact", "fact"), ("table_row", "table"), ("heading", "section")) if kind in kinds), "prose")
+
+
+class OversizedRow(ValueError):
+    """A table row or fact has more words than a chunk may have."""
+
+
+_LABELLED, _STOPPED, _SPACED = re.compile(METRIC), re.compile(r"[.!?।]\W*$"), re.compile(r"\S+")
+
+
+def _records(blocks, room: int, strict: bool) -> list[dict]:
+    """Lines ``(text, kind, words, at)`` of a document with what they open: 2 a section, 1 a group of its own, 0 nothing."""
+    out, at = [], 0
+    for b in blocks if blocks is not None else ():
+        text, kind, level = b["text"] or "", b["kind"] or "paragraph", b["level"] or 0
+        marks = "#" * max(1, level) + " " if kind == "heading" else ""
+        spans = [m.span() for m in _SPACED.finditer(text)]
+        if spans and kind == "heading":
+            asks = text.rstrip().endswith("?") and len(spans) >= 3
+            out.append({"text": marks + text, "kind": kind, "words": len(spans) + 1, "at": at, "opens": 1 if asks else 2 if level <= 2 else 0, "asks": text if asks else "", "section": text if level <= 2 and not asks else None})
+        elif spans:
+            most = room if kind in ATOMIC else SLICE
+            if strict and kind in ATOMIC and len(spans) > room:
+                raise OversizedRow(f"a {kind} of {len(spans)} words")
+            opens = int(kind not in ATOMIC and len(spans) <= 12 and _LABELLED.search(text) is not None)
+            for i in range(0, len(spans), most):
+                part = spans[i : i + most]
+                line = text if len(spans) <= most else text[part[0][0] : part[-1][1]]
+                out.append({"text": line, "kind": kind, "words": len(part), "at": at + (0 if len(spans) <= most else part[0][0]), "opens": opens if i == 0 else 0, "asks": "", "section": None})
+        at += len(marks) + len(text) + 1
+    return out
+
+
+def _spans(words: np.ndarray, is_head: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Where a group of lines is cut: spans of at most ``limit`` words, from prefix sums; each takes up the last lines of the
+    one before, as far as they have OVERLAP words at most and no heading is among them."""
+    total = np.concatenate(([0], np.cumsum(words)))
+    heads = np.concatenate(([-1], np.maximum.accumulate(np.where(is_head, np.arange(len(words)), -1))))
+    spans, begin, fresh = [], 0, 0
+    while fresh < len(words):
+        end = max(fresh + 1, int(np.searchsorted(total, total[begin] + limit, side="right")) - 1)
+        if end == fresh + 1 and total[end] - total[begin] > limit:
+            begin = fresh  # the shared lines leave no room
+        spans.append((begin, end))
+        fresh = end
+        begin = max(int(np.searchsorted(total, total[end] - OVERLAP)), heads[end] + 1, spans[-1][0] + 1)
+        begin = min(begin, fresh)
+    return spans
+
+
+def pack(blocks, footer: str, strict: bool = False) -> list[dict]:
+    """Chunks of one document, given its blocks in order. Lines fall into groups at the records that open one; a group is
+    cut by size; a thin group (few words, no sentence, row or fact) goes to the front of the next chunk, at the end of the
+    document to the back of the last."""
+    room = HARD - len(footer.split())
+    records = _records(blocks, room, strict)
+    if not records:
+        return []
+    group = np.cumsum([r["opens"] > 0 for r in records])
+    borders = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+    made: list[dict] = []
+    held: list[dict] = []
+    section = ""
+    for a, b in zip(borders, [*borders[1:], len(records)]):
+        lines = records[a:b]
+        section = lines[0]["section"] if lines[0]["section"] is not None else section
+        faq = lines[0]["asks"]
+        body = [r for r in lines if r["kind"] != "heading"]
+        thin = not any(r["kind"] in ATOMIC or _STOPPED.search(r["text"]) for r in body) and sum(r["words"] for r in body) < MIN_ALONE
+        if thin and not (faq and body):
+            held += lines
+            continue
+        for k, (x, y) in enumerate(_spans(np.array([r["words"] for r in lines]), np.array([r["kind"] == "heading" for r in lines]), min(BODY, room))):
+            part = lines[x:y]
+            if held and sum(r["words"] for r in held + part) <= room:
+                part, held = held + part, []
+            made.append({"lines": part, "section": section, "faq": faq if k == 0 else ""})
+    if held and made and sum(r["words"] for r in made[-1]["lines"] + held) <= room:
+        made[-1]["lines"], held = made[-1]["lines"] + held, []
+    if held:
+        made += [{"lines": held[x:y], "section": section, "faq": ""} for x, y in _spans(np.array([r["words"] for r in held]), np.array([True] * len(held)), room)]
+    out = []
+    for k, chunk in enumerate(made):
+        lines = chunk["lines"]
+        text = "\n".join([*(r["text"] for r in lines), *([footer] if footer else [])])
+        out.append({
+            "chunk_index": k, "text": text, "section": chunk["section"], "faq_question": chunk["faq"], "block_kind": kind_of({r["kind"] for r in lines}, chunk["faq"]),
+            "token_count": len(text.split()), "char_start": min(r["at"] for r in lines), "char_end": max(r["at"] + len(r["text"]) for r in lines),
         })
-
-    def tail(self) -> list[tuple[str, str, int]]:
-        out: list[tuple[str, str, int]] = []
-        for x in reversed(self.lines):
-            if x[1] == "heading" or self.size(out) + self.size([x]) > OVERLAP:
-                break
-            out.insert(0, x)
-        return out if len(out) < len(self.lines) else []
-
-    def add(self, text: str, kind: str, level: int, at: int) -> None:
-        if kind == "heading":
-            question = text.rstrip().endswith("?") and 15 <= len(text) <= 200
-            if question:
-                self.flush()
-                self.faq = text
-            elif level <= 2:
-                self.flush()
-                self.section = text
-            self.lines.append((f"{'#' * max(1, level)} {text}", "heading", at))
-            return
-        if kind not in ATOMIC and self.lines and _METRIC.search(text) and len(text.split()) <= 12:
-            self.flush()
-        for piece, offset in self.pieces(text, kind):
-            if self.lines and self.size(self.lines) + len(piece.split()) > min(BODY, self.room):
-                carry, faq = self.tail(), self.faq
-                self.flush()
-                self.lines, self.faq = carry, ""
-            self.lines.append((piece, kind, at + offset))
-
-    def pieces(self, text: str, kind: str):
-        words = list(re.finditer(r"\S+", text))
-        most = SLICE if kind not in ATOMIC else self.room
-        if len(words) <= most:
-            return [(text, 0)]
-        return [(text[words[i].start() : words[min(i + most, len(words)) - 1].end()], words[i].start()) for i in range(0, len(words), most)]
-
-    def done(self) -> list[dict]:
-        self.flush()
-        if self.pending:  # what never found a body
-            step: list[tuple[str, str, int]] = []
-            for x in self.pending:
-                if step and self.size(step) + self.size([x]) > self.room:
-                    self.emit(step)
-                    step = []
-                step.append(x)
-            self.emit(step)
-            self.pending = []
-        return self.chunks
+    return out
 
 
 @F.pandas_udf(T.ArrayType(CHUNK))
 def _chunks(blocks: pd.Series, url: pd.Series, retrieved: pd.Series) -> pd.Series:
-    out = []
-    for doc, link, date in zip(blocks, url, retrieved):
-        packer = _Packer(f"Source: {link or ''} (retrieved {date or 'unknown'})")
-        at = 0
-        for b in doc if doc is not None else ():
-            text = b["text"]
-            if text and text.strip():
-                packer.add(text, b["kind"] or "paragraph", b["level"] or 0, at)
-            mark = max(1, b["level"] or 1) + 1 if b["kind"] == "heading" else 0
-            at += len(text or "") + mark + 1
-        out.append(packer.done())
-    return pd.Series(out)
+    return pd.Series([pack(doc, f"Source: {link or ''} (retrieved {date or 'unknown'})") for doc, link, date in zip(blocks, url, retrieved)])
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -142,9 +133,9 @@ def chunked(docs: DataFrame) -> DataFrame:
     Every chunk has at most 256 words, its "Source:" line included; rows and facts longer than that are cut, all others stay
     whole. Documents without blocks have no chunk; a document delivered twice is chunked once.
     """
-    once = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("blocks", "source_id", "url", "retrieved_at")).alias("d"))
-    ordered = F.array_sort(F.transform("d.blocks", lambda b: F.struct(b["pos"].alias("pos"), b["kind"].alias("kind"), b["text"].alias("text"), b["level"].alias("level"))))
-    made = once.select("doc_id", "d.source_id", "d.url", F.explode(_chunks(ordered, F.col("d.url"), F.col("d.retrieved_at"))).alias("c"))
+    once = one_delivery(docs.select("doc_id", "blocks", "source_id", "url", "retrieved_at"), "doc_id")
+    ordered = F.array_sort(F.transform("blocks", lambda b: F.struct(b["pos"].alias("pos"), b["kind"].alias("kind"), b["text"].alias("text"), b["level"].alias("level"))))
+    made = once.select("doc_id", "source_id", "url", F.explode(_chunks(ordered, F.col("url"), F.col("retrieved_at"))).alias("c"))
     return made.select(chunk_id(F.col("doc_id"), F.col("c.chunk_index"), F.col("c.text")).alias("chunk_id"), "doc_id", "source_id", "url", "c.*")
 
 
@@ -180,3 +171,10 @@ def foreign_urls(chunks: DataFrame, registry: DataFrame) -> DataFrame:
     urls = chunks.select("chunk_id", "source_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"https?://[^\s)\]]+"), F.lit(0)))).alias("found"))
     own = registry.where("url IS NOT NULL AND url <> ''").groupBy(F.col("url").alias("found")).agg(F.min("source_id").alias("other_id"), F.collect_set("source_id").alias("ids"))
     return urls.join(own, "found").where(~F.array_contains("ids", F.col("source_id")) & (F.col("found") != F.coalesce("url", F.lit("")))).select("chunk_id", "source_id", "other_id").distinct()
+
+
+def require_coverage(coverage: DataFrame, floor: float = 1.0) -> DataFrame:
+    """``block_coverage`` as it is, with an error for a kind of block of which less than ``floor`` is in the chunks."""
+    share = F.col("found") / F.greatest("wanted", F.lit(1))
+    message = F.format_string("of %s blocks only %d of %d are in chunks", F.coalesce("kind", F.lit("other")), "found", "wanted")
+    return coverage.select("kind", "wanted", F.when(share < floor, F.raise_error(message).cast("long")).otherwise(F.col("found")).alias("found"))

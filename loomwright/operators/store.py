@@ -35,10 +35,11 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _current(self) -> dict | None:
-        try:
-            rows = self.spark.read.text(f"{self.root}/pointer").collect()  # one line a version
-        except Exception:
+        """The last version of the pointer; none only if there is no pointer. Errors while reading it are errors."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return None
+        rows = self.spark.read.text(f"{self.root}/pointer").collect()  # one line a version
         return max((json.loads(r[0]) for r in rows), key=lambda v: v["n"], default=None)
 
     def read(self) -> DataFrame:
@@ -68,3 +69,34 @@ class Store:
 
     def count(self) -> int:
         return self.read().count()
+
+
+# renderings of the stored rows, as lines that a distributed writer can take
+
+
+def chunk_lines(chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, line)``: every chunk as a readable record of fixed layout; the order is that of the ids."""
+    once = chunks.where("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.min(F.struct("source_id", "section", "block_kind", F.coalesce("token_count", F.lit(0)).alias("token_count"), "text")).alias("r"))
+    cell = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(""))
+    return once.select("chunk_id", F.concat(F.lit("== "), "chunk_id", F.lit(" | "), cell("source_id"), F.lit(" | "), cell("section"), F.lit(" | "), cell("block_kind"), F.lit(" | "), F.col("r.token_count").cast("string"), F.lit(" words\n"), cell("text")).alias("line"))
+
+
+def vector_preview(rows: DataFrame, id_: str, embedding: str, dims: int = 12) -> DataFrame:
+    """``(id, preview)``: the first components of each vector and its length, six digits each; null vectors have no row."""
+    from .vectors import norm
+
+    shown = F.array_join(F.transform(F.slice(F.col(embedding), 1, dims), lambda x: F.format_string("%.6f", x.cast("double"))), " ")
+    return rows.where(F.col(embedding).isNotNull()).select(F.col(id_).alias("id"), F.concat(shown, F.format_string(" | %.6f", norm(F.col(embedding)))).alias("preview")).distinct()
+
+
+def vector_stats(rows: DataFrame, embedding: str) -> DataFrame:
+    """How many vectors there are, their least, mean and greatest length, and how far a length is from 1 at most."""
+    from .vectors import norm
+
+    n = rows.where(F.col(embedding).isNotNull()).select(norm(F.col(embedding)).alias("n"))
+    return n.agg(F.count("n").alias("vectors"), F.round(F.min("n"), 6).alias("least"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.max("n"), 6).alias("greatest"), F.round(F.max(F.abs(F.col("n") - 1)), 6).alias("off_by"))
+
+
+def write_lines(lines: DataFrame, path: str, order: str, column: str = "line") -> None:
+    """Lines as text files, sorted over all files: as many writers as there are ranges."""
+    lines.repartitionByRange(order).sortWithinPartitions(order).select(column).write.text(path)

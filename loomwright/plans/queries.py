@@ -86,9 +86,14 @@ def question_traces(spark, d):
     return q.select("id", P.first_masked(F.col("query")).alias("trace"))
 
 
+def question_spans(spark, d):
+    q = table(spark, d, "golden_qa").select("id", "query").distinct()
+    return q.select("id", P.first_span(F.col("query")).alias("s")).select("id", "s.label", "s.start", "s.end")
+
+
 def corpus_pii(spark, d):
     docs = table(spark, d, "raw_docs").where("extracted_text IS NOT NULL").select("raw_id", "extracted_text").distinct()
-    return docs.select("raw_id", P.all_labels(F.col("extracted_text")).alias("labels"), F.length(P.merged_masked("extracted_text")).alias("length"))
+    return docs.select("raw_id", P.all_labels("extracted_text").alias("labels"), F.length(P.merged_masked("extracted_text")).alias("length"))
 
 
 def question_intents(spark, d):
@@ -195,6 +200,10 @@ def ingest_manifest(spark, d):
     return pipeline.manifest(raw, stage(pipeline.ingest(raw), "ingested"))
 
 
+def page_warnings(spark, d):
+    return B.warnings(table(spark, d, "clean_docs"))
+
+
 def foreign_urls(spark, d):
     return C.foreign_urls(table(spark, d, "chunks"), table(spark, d, "source_registry"))
 
@@ -220,6 +229,23 @@ def store_upsert(spark, d):
     return S.upserted(old, chunks.where("token_count >= 100"))
 
 
+def chunk_dump(spark, d):
+    return S.chunk_lines(table(spark, d, "chunks"))
+
+
+def embedding_preview(spark, d):
+    return S.vector_preview(table(spark, d, "hits").where("hit_id IS NOT NULL"), "hit_id", "embedding")
+
+
+def norm_stats(spark, d):
+    return S.vector_stats(table(spark, d, "hits"), "embedding")
+
+
+def store_parity(spark, d):
+    """The chunks on hand against those that the documents give now: these come from elsewhere, so they are stale."""
+    return E.store_parity(table(spark, d, "chunks").where("chunk_id IS NOT NULL"), C.chunked(table(spark, d, "clean_docs")))
+
+
 def duplicate_chunks(spark, d):
     c = table(spark, d, "chunks")
     return c.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("token_count").alias("counts"), F.max("loaded_at").alias("last")).where("n > 1")
@@ -293,6 +319,41 @@ def retrieval_rates(spark, d):
     return E.retrieval_rates(table(spark, d, "golden_qa"), _hit_ranks(spark, d), 5)
 
 
+def visible_rates(spark, d):
+    return E.visible_rates(table(spark, d, "golden_qa"), _hit_ranks(spark, d), 5, I.category)
+
+
+def fact_ranks(spark, d):
+    return E.fact_ranks(table(spark, d, "golden_qa"), _hit_ranks(spark, d))
+
+
+def questions_retrieved(spark, d):
+    found = pipeline.retrieved(table(spark, d, "golden_qa"), table(spark, d, "chunks"))
+    return found.select("qid", "chunk_id", "source_id", "score")
+
+
+def answers_retrieved(spark, d):
+    """The whole answer flow: questions are embedded, meet the chunks, and the best of them pass the gates."""
+    golden, chunks = table(spark, d, "golden_qa"), table(spark, d, "chunks")
+    return pipeline.answer_batch(golden, stage(pipeline.retrieved(golden, chunks), "retrieved"), chunks, table(spark, d, "source_registry"))
+
+
+def _checks(spark, d):
+    return E.answer_checks(table(spark, d, "golden_qa"), answer_batch(spark, d), table(spark, d, "source_registry"))
+
+
+def answer_checks(spark, d):
+    return _checks(spark, d)
+
+
+def answer_statuses(spark, d):
+    return E.status_counts(_checks(spark, d))
+
+
+def eval_report(spark, d):
+    return E.report_lines(stage(_checks(spark, d), "checks"))
+
+
 def answer_batch(spark, d):
     return pipeline.answer_batch(table(spark, d, "golden_qa"), table(spark, d, "hits"), table(spark, d, "chunks"), table(spark, d, "source_registry"))
 
@@ -334,12 +395,21 @@ def event_windows(spark, d):
     return G.windowed_counts(table(spark, d, "events"))
 
 
+def events_streamed(spark, d):
+    source = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    given = stage(source, "events")
+    base = given.inputFiles()[0].rsplit("/", 1)[0]
+    out = f"{shared_dir(spark)}/windows-{base.rsplit('/', 1)[1]}"
+    G.windows_to_end(spark.readStream.schema(source.schema).parquet(base), out, out + "-checkpoint")
+    return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 _NAMED = [
     registry_typed, registry_violations, citable_sources, preferred_urls, fetch_summary, page_blocks, chrome_retention,
-    question_pii, question_traces, corpus_pii, question_intents, question_categories, document_numbers, facts_supported, short_documents, documents_without_urls, performance_claims, word_counts, prose_slices, collapsed_text,
-    chunk_ids, line_offsets, block_sections, blocks_once, blocks_before_footer, label_value_facts, documents_chunked, chunk_invariants, block_coverage, pages_ingested, ingest_manifest, foreign_urls, chunks_by_authority, sources_without_chunks, store_metadata, store_upsert, duplicate_chunks,
+    question_pii, question_spans, question_traces, corpus_pii, question_intents, question_categories, document_numbers, facts_supported, short_documents, documents_without_urls, performance_claims, word_counts, prose_slices, collapsed_text,
+    chunk_ids, line_offsets, block_sections, blocks_once, blocks_before_footer, label_value_facts, documents_chunked, chunk_invariants, block_coverage, pages_ingested, ingest_manifest, page_warnings, foreign_urls, chunks_by_authority, sources_without_chunks, store_metadata, store_upsert, chunk_dump, embedding_preview, norm_stats, store_parity, duplicate_chunks,
     knn_topk, mmr_picks, filtered_hits, grounding_gate, hit_traces, sources_consulted, vector_norms, hashed_documents, rendered_contexts,
-    score_stats, tau_sweep, retrieval_rates, answer_batch, answer_rates, payload_checks, stream_guard, event_windows,
+    score_stats, tau_sweep, retrieval_rates, visible_rates, fact_ranks, questions_retrieved, answers_retrieved, answer_checks, answer_statuses, eval_report, answer_batch, answer_rates, payload_checks, stream_guard, event_windows, events_streamed,
 ]
 
 

@@ -36,8 +36,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def one_delivery(df: DataFrame, *keys: str) -> DataFrame:
-    """One row for each value of ``keys``: of several, the one with the smallest hash of its other columns, ties being
-    equal rows.
+    """One row for each value of ``keys``: of several, the one whose other columns are smallest.
 
     Only rows whose keys come again are grouped; all others pass as they are, without being sorted by their content.
     Rows without a key go."""
@@ -45,7 +44,7 @@ def one_delivery(df: DataFrame, *keys: str) -> DataFrame:
     again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
     for k in keys:
         df = df.where(F.col(k).isNotNull())
-    chosen = df.join(again, list(keys), "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_r")).select(*keys, "_r.*")
+    chosen = df.join(again, list(keys), "left_semi").groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
     return df.join(again, list(keys), "left_anti").select(*df.columns).unionByName(chosen)
 
 

@@ -30,3 +30,11 @@ def upsert_batches(stream: DataFrame, store, checkpoint: str, key: str = "chunk_
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums of timestamped events per window and type, late rows being dropped after ``late``."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def windows_to_end(stream: DataFrame, out: str, checkpoint: str, width: str = "1 hour", late: str = "2 hours") -> None:
+    """All there is of a stream of events, counted in windows with state and a watermark; ``out`` holds the counts as of the
+    last micro-batch, which a repeated batch writes again."""
+    counts = windowed_counts(stream, width, late)
+    q = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
