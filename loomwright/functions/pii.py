@@ -70,7 +70,7 @@ def _number_label(token: str) -> str | None:
     local = digits[2:] if token.startswith("+91") else digits[1:] if digits.startswith("0") and len(digits) == 11 else digits
     if token.startswith("+"):
         return "phone_in" if token.startswith("+91") and MOBILE.fits(local) else None
-    return next((k for k, rule, x in (("aadhaar", AADHAAR, digits), ("demat", DEMAT, digits), ("phone_in", MOBILE, local), ("account", ACCOUNT, digits)) if rule.fits(x)), None)
+    return next((k for k, rule, x in (("aadhaar", AADHAAR, digits), ("demat", DEMAT, digits), ("phone_in", MOBILE, local), ("account", ACCOUNT, digits if token.isdigit() else "")) if rule.fits(x)), None)
 
 
 def corpus_spans(text: str | None) -> list[tuple[str, int, int]]:

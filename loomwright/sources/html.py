@@ -37,9 +37,9 @@ def decoded(raw: bytes) -> str:
     except UnicodeDecodeError as e:
         named = _CHARSET.search(raw[:4096])
         name = named.group(1).decode("ascii").lower() if named else ""
-        if name in ("utf-8", "utf8") or len(raw) - e.start < 4 and e.reason == "unexpected end of data":
-            cut = raw[: e.start] if len(raw) - e.start < 4 else raw  # a page cut inside a character
-            return cut.decode("utf-8", "replace")
+        at_end = len(raw) - e.start < 4 and e.reason == "unexpected end of data"
+        if name in ("utf-8", "utf8") or at_end and not raw[: e.start].isascii():  # cut inside its last character
+            return (raw[: e.start] if at_end else raw).decode("utf-8", "replace")
         try:
             return raw.decode("cp1252" if name in ("", "iso-8859-1", "latin-1", "latin1", "us-ascii") else name, "replace")
         except LookupError:
@@ -125,7 +125,7 @@ class _Blocks(HTMLParser):
         self.card.pop()
 
     def handle_endtag(self, tag):
-        if tag not in ("b", "i", "em", "strong", "sup", "sub"):
+        if tag not in ("b", "i", "em", "strong", "sup", "sub") or self.role and self.role[-1]:
             self.flush()
         if tag in ("tr", "table"):
             self.row()
