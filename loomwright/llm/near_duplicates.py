@@ -7,9 +7,11 @@ copies cost nothing later. A class has
   similarity s miss each other in all blocks with probability (1 - s^3)^30, 1 in 1,500 at 0.6 and 1 in 100,000 at 0.69;
 * a fingerprint of 128 bits, one bit of each of 128 minimum hashes. It differs in 64 (1 - s) bits on average.
 
-A block is cut into tiles by bit count. Tiles are compared pairwise in numpy, by exclusive-or and bit counts;
-a pair of tiles whose bit counts differ by more than the radius is skipped, as the distance can't be smaller than that
-difference. What is within the radius is verified on the full sets of hashes, exactly.
+A set is also a long string of bits, one for each possible run, whose bit count is the size of the set. Two strings of a
+and b > a set bits differ in b - a bits at least, so that sets of similarity s need a >= s b. A block is cut into tiles by
+this bit count, in steps of its logarithm; a pair of tiles whose bit counts are farther apart than that is skipped. The
+fingerprints of the others are compared pairwise in numpy, by exclusive-or and bit counts, and what is within their
+radius is verified on the full sets of hashes, exactly.
 
 Blocks larger than one tile are spread: each row goes to the pairs of its tile with those tiles that the radius admits,
 so that no task holds more than two tiles of a block, however large the block.
@@ -17,6 +19,7 @@ so that no task holds more than two tiles of a block, however large the block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +41,13 @@ BITS = 128
 #: Bits in which two classes of the least similarity may differ: their mean 64 (1 - s) = 25.6 and 4.5 deviations.
 RADIUS = 46
 TILE = 512
-#: Bit counts that one band of a large block spans.
-BAND = 8
+#: What the sizes of sets in one band of a large block may differ by, as a logarithm: bands farther apart than the least
+#: similarity allows are never compared.
+BAND = 0.05
 
 _SKETCH = T.StructType([
     T.StructField("set_id", T.LongType()), T.StructField("n_set", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())),
-    T.StructField("bits_a", T.LongType()), T.StructField("bits_b", T.LongType()), T.StructField("ones", T.IntegerType()),
+    T.StructField("bits_a", T.LongType()), T.StructField("bits_b", T.LongType()),
 ])
 
 
@@ -81,10 +85,9 @@ def _sketch(texts: list[str | None], min_words: int = MIN_WORDS, run: int = RUN)
         keys = mix(keys + minima[:, j:n_min:ROWS_PER_KEY] + np.uint64(j))
     keys = keys.view(np.int64)
     bits = np.packbits((mix(minima[:, :BITS]) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
-    ones = np.bitwise_count(bits).sum(axis=1)
     bits = bits.view(np.int64)
     for i, text in enumerate(which):
-        out[text] = {"set_id": ids[i], "n_set": border[i + 1] - border[i], "keys": keys[i], "bits_a": bits[i, 0], "bits_b": bits[i, 1], "ones": int(ones[i])}
+        out[text] = {"set_id": ids[i], "n_set": border[i + 1] - border[i], "keys": keys[i], "bits_a": bits[i, 0], "bits_b": bits[i, 1]}
     return out
 
 
@@ -94,7 +97,7 @@ def _sketched(text: pd.Series) -> pd.DataFrame:
     for part in pandas_rows([text.to_frame("text")], 250, "text", 500_000):
         rows += _sketch(part["text"].tolist())
     blank = dict.fromkeys(_SKETCH.names)
-    return pd.DataFrame([r or blank for r in rows], columns=_SKETCH.names).astype({"set_id": "Int64", "n_set": "Int32", "bits_a": "Int64", "bits_b": "Int64", "ones": "Int32"})
+    return pd.DataFrame([r or blank for r in rows], columns=_SKETCH.names).astype({"set_id": "Int64", "n_set": "Int32", "bits_a": "Int64", "bits_b": "Int64"})
 
 
 #: A filter on its result would otherwise be pushed below it and sketch every text a second time.
@@ -116,13 +119,13 @@ def _blocks(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _compare(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of classes within the radius, of rows (block, side, set_id, bits_a, bits_b, ones, n_set).
+    """Pairs of classes within the radius, of rows (block, side, set_id, bits_a, bits_b, n_set).
 
     Side 0 is compared with itself and side 1, side 1 with nothing else."""
     for frame in _blocks(rows):
         if not len(frame):
             continue
-        block, side, ids, ones, n = (frame[c].to_numpy() for c in ("block", "side", "set_id", "ones", "n_set"))
+        block, side, ids, n = (frame[c].to_numpy() for c in ("block", "side", "set_id", "n_set"))
         a, b = (frame[c].to_numpy().view(np.uint64) for c in ("bits_a", "bits_b"))
         first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         size = np.diff(np.r_[first, len(block)])
@@ -139,7 +142,7 @@ def _compare(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             other = one if len(one) else zero
             for lo in range(0, len(zero), 64):
                 some = zero[lo : lo + 64]
-                near = np.abs(ones[some][:, None] - ones[other][None, :]) <= RADIUS
+                near = np.minimum(n[some][:, None], n[other][None, :]) >= SIMILARITY * np.maximum(n[some][:, None], n[other][None, :]) - 1e-9
                 near &= np.bitwise_count(a[some][:, None] ^ a[other][None, :]).astype(np.int32) + np.bitwise_count(b[some][:, None] ^ b[other][None, :]) <= RADIUS
                 i, j = np.nonzero(near)
                 found.append((some[i], other[j]))
@@ -194,29 +197,29 @@ def _blocks_of(sketched: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(sketched: DataFrame) -> DataFrame:
-    """Sketches ``(tab, set_id, n_set, keys, bits_a, bits_b, ones)`` -> ``(a, b)``: pairs of classes of one table that share a block and whose fingerprints are within the radius.
+    """Sketches ``(tab, set_id, n_set, keys, bits_a, bits_b)`` -> ``(a, b)``: pairs of classes of one table that share a block and whose fingerprints are within the radius.
 
-    Blocks of more than TILE rows are cut by bands of bit counts, and bands of more than TILE rows by a hash, from counts
+    Blocks of more than TILE rows are cut by bands of the sizes of their sets, and bands of more than TILE rows by a hash, from counts
     that are summed before they are shuffled: no task sees a block as a whole.
     """
-    fingerprint = ["set_id", "n_set", "bits_a", "bits_b", "ones"]
+    fingerprint = ["set_id", "n_set", "bits_a", "bits_b"]
     # copies of one class count here too: a block of nothing but copies is looked at in vain
     shared = _blocks_of(sketched).groupBy("block").agg(F.count(F.lit(1)).alias("n_block")).where("n_block > 1")
     keyed = _blocks_of(sketched.select("tab", "set_id", "keys").dropDuplicates(["set_id"]))
     # written, as small and large blocks and their counts would each work it out again
     rows = stage(keyed.join(shared, "block").join(sketched.select(*fingerprint).distinct(), "set_id"), "block-rows")
     small = rows.where(F.col("n_block") <= TILE).select("block", F.lit(0).alias("side"), *fingerprint)
-    big = rows.where(F.col("n_block") > TILE).withColumn("band", F.floor(F.col("ones") / BAND))
+    big = rows.where(F.col("n_block") > TILE).withColumn("band", F.floor(F.log(F.col("n_set")) / BAND))
     cells = big.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
     big = big.join(cells, ["block", "band"]).withColumn("tile", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("set_id"), "parts"))
     tiles = cells.select("block", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     left = tiles.select("block", (F.col("band") * (1 << 32) + F.col("part")).alias("tile"), F.col("band").alias("x"))
     right = left.withColumnsRenamed({"tile": "tile_b", "x": "y"})
-    pairs = left.join(right, "block").where(f"tile <= tile_b AND (y - x) * {BAND} - {BAND - 1} <= {RADIUS}").select("block", "tile", "tile_b")
+    pairs = left.join(right, "block").where(f"tile <= tile_b AND (y - x - 1) * {BAND} <= {-math.log(SIMILARITY)}").select("block", "tile", "tile_b")
     one = big.join(pairs, ["block", "tile"]).withColumn("side", F.lit(0))
     two = big.withColumnRenamed("tile", "tile_b").join(pairs.where("tile < tile_b"), ["block", "tile_b"]).withColumn("side", F.lit(1))
     large = one.unionByName(two, allowMissingColumns=True).withColumn("block", F.xxhash64("block", "tile", "tile_b")).select("block", "side", *fingerprint)
-    return small.unionByName(large).repartition("block").sortWithinPartitions("block", "side", "ones").mapInPandas(_compare, "a long, b long").distinct()
+    return small.unionByName(large).repartition("block").sortWithinPartitions("block", "side", "n_set").mapInPandas(_compare, "a long, b long").distinct()
 
 
 def near_duplicate_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
