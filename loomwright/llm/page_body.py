@@ -12,7 +12,6 @@ recur in a large part of their site's pages against headings, facts and rows. Th
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -23,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import stage
-from .repeated_lines import letters
+from ..sources.shared import one_delivery, stage
+from .repeated_lines import letter_keys
 from .spark import pandas_rows
-from .words import Words
+from .words import Words, fold
 
 SAMPLE_PAGES = 2_000
 #: Labelled lines of a table, and their characters, that go to the driver.
@@ -326,7 +325,8 @@ def _kind(kind: str | None) -> str:
 
 @F.pandas_udf(T.StructType([T.StructField("line", T.BinaryType()), T.StructField("words", T.IntegerType())]))
 def _line_key(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"line": [hashlib.md5(letters(x).encode()).digest() for x in text], "words": [len(x.split()) for x in text]})
+    keys = [k for rows in pandas_rows([text.to_frame("text")], 20_000, "text", 1_000_000) for k in letter_keys([fold(x).replace("\n", " ") for x in rows["text"]])]
+    return pd.DataFrame({"line": [k or b"" for k in keys], "words": [len(x.split()) for x in text]})
 
 
 def _stated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -408,10 +408,10 @@ def furniture_lines(raw_docs: DataFrame, clean_docs: DataFrame) -> DataFrame:
 def main_body(raw_docs: DataFrame, clean_docs: DataFrame) -> DataFrame:
     """``(tab, row_key, n_dropped, text)``: every page with only its main body. Null texts stay null."""
     gone = furniture_lines(raw_docs, clean_docs).groupBy("tab", "row_key").agg(F.collect_list("line_no").alias("gone"))
-    one = raw_docs.where("raw_id IS NOT NULL").groupBy(F.col("raw_id").alias("row_key")).agg(F.min("extracted_text").alias("text"))
+    one = one_delivery(raw_docs.select(F.col("raw_id").alias("row_key"), F.col("extracted_text").alias("text")), "row_key")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("text")))
     one = one.select(F.lit("raw_docs").alias("tab"), "row_key", lines.alias("lines"))
-    two = clean_docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("row_key")).agg(F.min("blocks").alias("blocks"))
+    two = one_delivery(clean_docs.select(F.col("doc_id").alias("row_key"), "blocks"), "row_key")
     two = two.select(F.lit("clean_docs").alias("tab"), "row_key", F.array_sort(F.transform("blocks", lambda b: F.struct(b["pos"].cast("long").alias("pos"), b["text"].alias("text")))).alias("lines"))
     kept = one.unionByName(two).join(gone, ["tab", "row_key"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
     text = F.array_join(F.transform(F.filter("lines", lambda b: ~F.coalesce(F.array_contains("gone", b["pos"]), F.lit(False))), lambda b: b["text"]), "\n")

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +25,7 @@ from pyspark.sql import types as T
 from ..operators.components import connected_components
 from ..sources.shared import one_delivery, stage
 from .spark import pandas_rows
-from .words import codes_of, fold, hashes_of_spans, is_upper, kinds_of_chars, mix, unfolded
+from .words import codes_of, hashes_of_spans, is_upper, kinds_of_chars, mix, unfolded
 
 MIN_DOCS = 5
 MIN_SHARE = 0.2
@@ -40,7 +39,6 @@ TILE = 512
 #: Kinds of blocks that may be removed: headings, table rows and facts stay.
 REMOVABLE = ("paragraph", "list_item", "footnote")
 
-_NOT_LETTER = regex.compile(r"\P{L}+")
 _KEYS = T.StructType([T.StructField("line", T.BinaryType()), T.StructField("masked", T.StringType())])
 
 
@@ -53,11 +51,6 @@ def line_keys(lines: list[str]) -> tuple[list[bytes | None], list[str]]:
     return letter_keys([x.lower() for x in upper]), masks(upper)
 
 
-def letters(line: str | None) -> str:
-    """The letters of a line after NFKC and lower-casing."""
-    return _NOT_LETTER.sub("", fold(line))
-
-
 def letter_keys(folded: list[str]) -> list[bytes | None]:
     lowered, low_start = codes_of(folded)
     kind = kinds_of_chars(lowered)
