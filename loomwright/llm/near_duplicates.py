@@ -96,8 +96,10 @@ def _sketched(text: pd.Series) -> pd.DataFrame:
     rows: list[dict | None] = []
     for part in pandas_rows([text.to_frame("text")], 250, "text", 500_000):
         rows += _sketch(part["text"].tolist())
-    blank = dict.fromkeys(_SKETCH.names)
-    return pd.DataFrame([r or blank for r in rows], columns=_SKETCH.names).astype({"set_id": "Int64", "n_set": "Int32", "bits_a": "Int64", "bits_b": "Int64"})
+    column = {name: [r and r[name] for r in rows] for name in _SKETCH.names}
+    # as whole numbers from the start: through floating point, texts without a sketch would cost the others their last bits
+    whole = {"set_id": "Int64", "n_set": "Int32", "bits_a": "Int64", "bits_b": "Int64"}
+    return pd.DataFrame({name: pd.array(column[name], dtype=whole[name]) if name in whole else pd.Series(column[name], dtype=object) for name in _SKETCH.names})
 
 
 #: A filter on its result would otherwise be pushed below it and sketch every text a second time.

@@ -364,3 +364,11 @@ def test_spam_and_its_look_alikes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, url string, source string").withColumn("words", F.lit(1)).withColumn("host", F.lit("?"))
     assert sorted(r["doc_id"] for r in spam_pages.spam_documents(df).collect()) == list(range(len(spam)))
     assert spam_pages.spam_documents(df.limit(0)).count() == 0
+
+
+def test_sketches_are_the_same_beside_short_texts():
+    import pandas as pd
+
+    text = " ".join(f"w{i}" for i in range(60))
+    alone, beside = (near_duplicates._sketched.func(pd.Series(x)).iloc[0] for x in ([text], [text, "x", None]))
+    assert all(alone[c] == beside[c] for c in ("set_id", "n_set", "bits_a", "bits_b"))
