@@ -127,13 +127,14 @@ def _chunks(blocks: pd.Series, url: pd.Series, retrieved: pd.Series) -> pd.Serie
     return pd.Series([pack(doc, f"Source: {link or ''} (retrieved {date or 'unknown'})") for doc, link, date in zip(blocks, url, retrieved)])
 
 
-def chunked(docs: DataFrame) -> DataFrame:
+def chunked(docs: DataFrame, unique: bool = False) -> DataFrame:
     """``clean_docs`` -> chunks ``(chunk_id, doc_id, source_id, url, chunk_index, text, ...)``.
 
     Every chunk has at most 256 words, its "Source:" line included; rows and facts longer than that are cut, all others stay
-    whole. Documents without blocks have no chunk; a document delivered twice is chunked once.
+    whole. Documents without blocks have no chunk; a document delivered twice is chunked once
+    (``unique``: there are none).
     """
-    once = one_delivery(docs.select("doc_id", "blocks", "source_id", "url", "retrieved_at"), "doc_id")
+    once = docs.where("doc_id IS NOT NULL") if unique else one_delivery(docs.select("doc_id", "blocks", "source_id", "url", "retrieved_at"), "doc_id")
     ordered = F.array_sort(F.transform("blocks", lambda b: F.struct(b["pos"].alias("pos"), b["kind"].alias("kind"), b["text"].alias("text"), b["level"].alias("level"))))
     made = once.select("doc_id", "source_id", "url", F.explode(_chunks(ordered, F.col("url"), F.col("retrieved_at"))).alias("c"))
     return made.select(chunk_id(F.col("doc_id"), F.col("c.chunk_index"), F.col("c.text")).alias("chunk_id"), "doc_id", "source_id", "url", "c.*")

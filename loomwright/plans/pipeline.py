@@ -25,12 +25,12 @@ def ingest(raw_docs: DataFrame) -> DataFrame:
     A page delivered twice counts once; pages without bytes, of failed fetches, have no chunk."""
     usable = raw_docs.where("raw_id IS NOT NULL AND raw_bytes IS NOT NULL AND length(raw_bytes) > 0 AND status IN ('ok', 'cached')")
     once = one_delivery(usable.select(F.col("raw_id").alias("doc_id"), "raw_bytes", "source_id", "url", "retrieved_at"), "doc_id")
-    pages = once.select("doc_id", "source_id", "url", "retrieved_at", html_blocks("raw_bytes").alias("blocks"))
+    pages = once.select("doc_id", "source_id", "url", "retrieved_at", html_blocks.asNondeterministic()("raw_bytes").alias("blocks"))  # so that no filter reads a page again
     # the corpus rules: the digits of figures are no identifiers
-    rows = pages.select("doc_id", F.inline("blocks")).withColumn("text", merged_masked("text"))
+    rows = pages.select("doc_id", F.inline("blocks")).withColumn("text", merged_masked.asNondeterministic()("text"))
     clean = B.paired_facts(B.before_footer(B.without_repeats(rows)))
     packed = clean.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((F.col("pos") * 2 + F.col("part")).cast("int").alias("pos"), "kind", "text", "level"))).alias("blocks"))
-    return chunked(packed.join(pages.select("doc_id", "source_id", "url", "retrieved_at"), "doc_id"))
+    return chunked(packed.join(pages.select("doc_id", "source_id", "url", "retrieved_at"), "doc_id"), unique=True)
 
 
 def manifest(raw_docs: DataFrame, chunks: DataFrame, schema_version: int = 1) -> DataFrame:
